@@ -14,9 +14,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 P1_SQL = """
 WITH RECURSIVE sets AS (
-  SELECT list_distinct(list_filter(ids, x -> x IS NOT NULL)) AS m FROM boundary_decisions WHERE kind = 'merge'
+  SELECT list_distinct(list_filter(ids, lambda x: x IS NOT NULL)) AS m FROM boundary_decisions WHERE kind = 'merge'
   UNION ALL
-  SELECT list_distinct(list_filter(list_transform(g.members, x -> x.card), x -> x IS NOT NULL)) FROM (SELECT unnest(groups) AS g FROM boundary_decisions WHERE kind = 'merge')),
+  SELECT list_distinct(list_filter(list_transform(g.members, lambda x: x.card), lambda x: x IS NOT NULL)) FROM (SELECT unnest(groups) AS g FROM boundary_decisions WHERE kind = 'merge')),
 half AS (SELECT list_min(m) AS a, unnest(m) AS b FROM sets WHERE len(m) > 1),
 edges AS (SELECT DISTINCT a, b FROM half WHERE a <> b UNION SELECT DISTINCT b, a FROM half WHERE a <> b),
 walk AS (SELECT a AS card, a AS seen FROM edges UNION SELECT w.card, e.b FROM walk w JOIN edges e ON e.a = w.seen)
