@@ -33,20 +33,24 @@ def heavy_keys(df: DataFrame, key: str, total: int, share: float = HEAVY_SHARE,
     return df.groupBy(key).count().where(F.col("count") >= max(least, int(total * share))).select(key)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
+def find_heavy(left: DataFrame, key: str, total: int) -> DataFrame | None:
+    """The heavy keys of ``left``, materialized, or None if there are none; for lookups that are repeated on one table."""
+    if total < 2 * 10_000:
+        return None
+    heavy = materialize(heavy_keys(left.where(F.col(key).isNotNull()), key, total))
+    return None if heavy.isEmpty() else heavy
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None, how: str = "left") -> DataFrame:
     """``left`` joined to ``right`` (unique on ``key``), safe against keys that own a large part of ``left``.
 
-    Rows of heavy keys meet their (at most ``1 / HEAVY_SHARE``) partners by broadcast and are never shuffled; all others
-    go through an ordinary shuffle join. ``total`` is the number of rows of ``left``. ``left`` should be materialized: it
-    is read twice when there are heavy keys. Null keys have no partner and are kept when ``how`` is ``left``.
+    Rows of the ``heavy`` keys (see ``find_heavy``) meet their at most ``1 / HEAVY_SHARE`` partners by broadcast and are never
+    shuffled; all others go through an ordinary shuffle join. ``left`` should be materialized: it is read twice when there are
+    heavy keys. Null keys have no partner and are kept when ``how`` is ``left``.
     """
-    if total < 2 * 10_000:
-        return left.join(right, key, how)
-    heavy = materialize(heavy_keys(left.where(F.col(key).isNotNull()), key, total))
-    if heavy.isEmpty():
+    if heavy is None:
         return left.join(right, key, how)
     hot = F.broadcast(heavy)
     partners = F.broadcast(right.join(hot, key, "left_semi"))
-    split = left.join(hot.withColumn("_hot", F.lit(True)), key, "left")
-    cold = split.where(F.col("_hot").isNull()).drop("_hot").join(right, key, how)
-    return cold.unionByName(split.where("_hot").drop("_hot").join(partners, key, how))
+    cold = left.join(hot, key, "left_anti").join(right, key, how)
+    return cold.unionByName(left.join(hot, key, "left_semi").join(partners, key, how))
