@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import lookup, materialize
+from spanloom.runtime import find_heavy, lookup, materialize
 
 
 def star_edges(groups: DataFrame, members: str) -> DataFrame:
@@ -52,10 +52,10 @@ def contract(edges: DataFrame, seed: int = 0) -> DataFrame:
         hooks = materialize(hooks.select("v", F.least("best", own)["n"].alias("root")))
         mappings.append(hooks)
         sizes.append(hooks.count())
-        once = lookup(edges, hooks.withColumnsRenamed({"v": "a", "root": "ra"}), "a", left, "inner").select("ra", "b")
+        once = lookup(edges, hooks.withColumnsRenamed({"v": "a", "root": "ra"}), "a", find_heavy(edges, "a", left), "inner").select("ra", "b")
         if left >= 20_000:  # read twice if some vertex is heavy
             once = materialize(once)
-        both = lookup(once, hooks.withColumnsRenamed({"v": "b", "root": "rb"}), "b", left, "inner").select("ra", "rb").where("ra <> rb")
+        both = lookup(once, hooks.withColumnsRenamed({"v": "b", "root": "rb"}), "b", find_heavy(once, "b", left), "inner").select("ra", "rb").where("ra <> rb")
         edges = materialize(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         left = edges.count()
     if not mappings:
@@ -63,7 +63,7 @@ def contract(edges: DataFrame, seed: int = 0) -> DataFrame:
     whole = mappings[-1]
     for step, n in zip(mappings[-2::-1], sizes[-2::-1]):
         nxt = whole.select(F.col("v").alias("root"), F.col("root").alias("further"))
-        whole = materialize(lookup(step, nxt, "root", n).select("v", F.coalesce("further", "root").alias("root")))
+        whole = materialize(lookup(step, nxt, "root", find_heavy(step, "root", n)).select("v", F.coalesce("further", "root").alias("root")))
     return whole
 
 
@@ -76,14 +76,14 @@ def group_ids(groups: DataFrame, members: str) -> DataFrame:
     edges = materialize(star_edges(groups, members))
     n = edges.count()
     codes = materialize(_codes(edges))
-    coded = lookup(edges, codes.withColumnsRenamed({"card": "a", "v": "va"}), "a", n, "inner").select("b", "va")
+    coded = lookup(edges, codes.withColumnsRenamed({"card": "a", "v": "va"}), "a", find_heavy(edges, "a", n), "inner").select("b", "va")
     if n >= 20_000:
         coded = materialize(coded)
-    coded = lookup(coded, codes.withColumnsRenamed({"card": "b", "v": "vb"}), "b", n, "inner").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    coded = lookup(coded, codes.withColumnsRenamed({"card": "b", "v": "vb"}), "b", find_heavy(coded, "b", n), "inner").select(F.col("va").alias("a"), F.col("vb").alias("b"))
     roots = contract(coded)
     labelled = materialize(codes.join(roots, "v").select("card", "root"))
     names = labelled.groupBy("root").agg(F.min("card").alias("group_id"))
-    return lookup(labelled, names, "root", labelled.count(), "inner").select(F.col("card").alias("card_id"), "group_id")
+    return lookup(labelled, names, "root", find_heavy(labelled, "root", labelled.count()), "inner").select(F.col("card").alias("card_id"), "group_id")
 
 
 def merge_matches(decisions: DataFrame) -> DataFrame:
