@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import components
+from spanloom.llm import components, consensus
 from spanloom.runtime import read
 
 
@@ -12,6 +13,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return components.group_ids(components.merge_matches(read(spark, d, "boundary_decisions")), "members")
 
 
+def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.entry_consensus(read(spark, d, "ruler_entries"), read(spark, d, "judge_answers"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[0].where("n_sources >= 3").select(F.col("item").alias("entry_id"), F.col("label").alias("verdict"))
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry with a standing verdict: its label, how sure that is, and how far the annotators agree."""
+    return _consensus(spark, d)[0].withColumnRenamed("item", "entry_id")
+
+
+def p3_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Every judge and reviewer: verdicts given, expected accuracy and weight."""
+    return _consensus(spark, d)[1]
+
+
 P1_SQL = """
 WITH RECURSIVE sets AS (
   SELECT list_distinct(list_filter(ids, lambda x: x IS NOT NULL)) AS m FROM boundary_decisions WHERE kind = 'merge'
@@ -25,7 +44,7 @@ SELECT card AS card_id, min(seen) AS group_id FROM walk GROUP BY card
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_reliability": p3_reliability}
 
 
 def oracle_sql() -> dict[str, str]:
