@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import components, consensus
+from spanloom.llm import components, consensus, lookalikes
 from spanloom.runtime import read
 
 
@@ -31,6 +31,16 @@ def p3_reliability(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1]
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.quoted_segments(read(spark, d, "boundary_notes"), read(spark, d, "segments"))
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment's Hebrew in its one form."""
+    segments = read(spark, d, "segments").select("ref", "seg_idx", "hebrew")
+    return lookalikes.rewrite(segments, "hebrew", "one_form", lookalikes.fit(segments, "hebrew")).drop("hebrew")
+
+
 P1_SQL = """
 WITH RECURSIVE sets AS (
   SELECT list_distinct(list_filter(ids, lambda x: x IS NOT NULL)) AS m FROM boundary_decisions WHERE kind = 'merge'
@@ -44,7 +54,7 @@ SELECT card AS card_id, min(seen) AS group_id FROM walk GROUP BY card
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_reliability": p3_reliability}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_reliability": p3_reliability, "p6_found": p6_found, "p6_texts": p6_texts}
 
 
 def oracle_sql() -> dict[str, str]:
