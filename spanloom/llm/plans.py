@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import components, consensus, encoding, lookalikes, mixture
+from spanloom.llm import components, consensus, encoding, lookalikes, mixture, stuffing
 from spanloom.runtime import read
 
 
@@ -53,6 +53,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.junk_pages(read(spark, d, "documents")).select(F.col("page").alias("doc_id"))
+
+
 P1_SQL = """
 WITH RECURSIVE sets AS (
   SELECT list_distinct(list_filter(ids, lambda x: x IS NOT NULL)) AS m FROM boundary_decisions WHERE kind = 'merge'
@@ -66,7 +70,7 @@ SELECT card AS card_id, min(seen) AS group_id FROM walk GROUP BY card
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_reliability": p3_reliability, "p6_found": p6_found, "p6_texts": p6_texts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_reliability": p3_reliability, "p6_found": p6_found, "p6_texts": p6_texts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
