@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import problems
+from spanloom.plans import problems, span_queries
 
-_MODULES = [problems]
+_MODULES = [problems, span_queries]
 
 
 def queries() -> dict:
