@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like ``materialize``, for wide rows: a compressed columnar table in the checkpoint folder, of which later readers take only
+    the columns they need. It lies there until the folder is cleared."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def heavy_keys(df: DataFrame, key: str, total: int, share: float = HEAVY_SHARE, least: int = 10_000) -> DataFrame:
     """The keys of ``df`` with at least ``max(least, share * total)`` rows: never more than ``1 / share`` of them."""
     return df.groupBy(key).count().where(F.col("count") >= max(least, int(total * share))).select(key)
