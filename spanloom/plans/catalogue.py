@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import problems, span_queries
+from spanloom.plans import problems, score_queries, span_queries, text_queries
 
-_MODULES = [problems, span_queries]
+_MODULES = [problems, span_queries, text_queries, score_queries]
 
 
 def queries() -> dict:
