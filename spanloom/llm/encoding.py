@@ -16,6 +16,7 @@ import types
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points from which on a text is cut, and those of a block.
 LONG_CHARS, BLOCK_CHARS = 4096, 2048
+#: Bytes of a packed token: three serve vocabularies of up to 16 million, and compress to about two.
+PACKED_BYTES = 3
 #: How far, in code points, the pattern looks from a split's start before it decides for one kind of piece.
 REACH = 3
 #: A piece that runs across a join is re-encoded whole up to so many bytes, and by a growing window of tokens beyond.
@@ -138,10 +141,31 @@ def join_parts(encoder, a: Part, b: Part) -> Part:
 # --- tables -----------------------------------------------------------------------------------------------------------
 
 
-def _encode_short(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = vocabulary.encoder().encode_ordinary
+def pack_ids(ids: list[list[int] | np.ndarray]) -> pa.Array:
+    """Token lists as little-endian 32-bit numbers less a byte or two: ``PACKED_BYTES`` each, the form in which they are shuffled."""
+    return pa.array([np.asarray(x, dtype="<u4").view("u1").reshape(-1, 4)[:, :PACKED_BYTES].tobytes() for x in ids], type=pa.binary())
+
+
+def unpack_ids(packed: pa.Array) -> pa.Array:
+    values, ends = [], [0]
+    for x in packed.to_pylist():
+        wide = np.zeros((len(x) // PACKED_BYTES, 4), dtype="u1")
+        wide[:, :PACKED_BYTES] = np.frombuffer(x, dtype="u1").reshape(-1, PACKED_BYTES)
+        values.append(wide.view("<i4").ravel())
+        ends.append(ends[-1] + len(wide))
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate(values) if values else np.array([], dtype="<i4"), type=pa.int32()))
+
+
+def _encode_short(vocabulary: Vocabulary, packed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encode = partial(vocabulary.encoder().encode_to_numpy, disallowed_special=())
+    none = np.array([], dtype="u4")
     for b in batches:
-        ids = pa.array([encode(t) if t else [] for t in b.column("_text").to_pylist()], type=pa.list_(pa.int32()))
+        lists = [encode(t) if t else none for t in b.column("_text").to_pylist()]
+        if packed:
+            ids = pack_ids(lists)
+        else:
+            ends = np.cumsum([0, *map(len, lists)], dtype="i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, none]).astype("i4")))
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), ids], [*b.schema.names[:-1], "ids"])
 
 
@@ -192,25 +216,32 @@ def _join_level(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> It
         yield _rows([(waiting[0], waiting[1] // 2, (waiting[2] + 1) // 2, waiting[3])])
 
 
-def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, long_chars: int = LONG_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pack_ids(b.column("ids").to_pylist())], b.schema.names)
+
+
+def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, long_chars: int = LONG_CHARS, block_chars: int = BLOCK_CHARS, packed: bool = False) -> DataFrame:
     """One row ``(*keep, ids)`` per row of ``df``: the tokens of its text, without special tokens.
 
     Null and empty texts have an empty list. Texts are encoded whole, whatever their length; strings that look like special
     tokens are ordinary text. Rows that repeat a key stay separate rows. An empty table gives an empty result. A column called
-    ``ids`` can't be kept.
+    ``ids`` can't be kept. With ``packed``, ``ids`` is binary, see ``pack_ids``.
     """
     vocab = Vocabulary(df.sparkSession, vocabulary)
-    rows = df.select(*(F.col(c) for c in keep), F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    rows = df.select(F.struct(*keep).alias("_own"), F.col(text).alias("_text"))  # in a struct, no name can clash
+    schema = f"_own {rows.schema['_own'].dataType.simpleString()}"
     is_long = F.coalesce(F.length("_text") > long_chars, F.lit(False))
-    short = rows.where(~is_long).mapInArrow(partial(_encode_short, vocab), f"{schema}, ids array<int>")
+    kind = "binary" if packed else "array<int>"
+    short = rows.where(~is_long).mapInArrow(partial(_encode_short, vocab, packed), f"{schema}, ids {kind}")
     blocks = materialize(rows.where(is_long).mapInArrow(partial(_cut, block_chars), f"{schema}, row_key string, block bigint, blocks bigint, text string"))
     most = blocks.agg(F.max("blocks")).first()[0]
     if most is None:
-        return short
-    own = blocks.where("block = 0").select(*keep, "row_key")
+        return short.select("_own.*", "ids")
+    own = blocks.where("block = 0").select("_own", "row_key")
     parts = blocks.select("row_key", "block", "blocks", "text").repartition("row_key", "block").mapInArrow(partial(_encode_blocks, vocab), STATE)
     while most > 1:
         halves = parts.repartition("row_key", F.floor(F.col("block") / 2)).sortWithinPartitions("row_key", "block")
         parts, most = halves.mapInArrow(partial(_join_level, vocab), STATE), (most + 1) // 2
-    return short.unionByName(own.join(parts, "row_key").select(*keep, "ids"))
+    long = own.join(parts, "row_key").select("_own", "ids")
+    return short.unionByName(long.mapInArrow(_repack, f"{schema}, ids binary") if packed else long).select("_own.*", "ids")

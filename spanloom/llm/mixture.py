@@ -8,14 +8,16 @@ source and repetition maps slot numbers to block numbers, by which slots and blo
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import encoding
-from spanloom.runtime import materialize
+from spanloom.runtime import materialize, store
 
 #: Tokens of a block, blocks of an output shard, and the random seed.
 BLOCK_TOKENS, SHARD_BLOCKS, SEED = 256, 512, 20240501
@@ -23,27 +25,36 @@ BLOCK_TOKENS, SHARD_BLOCKS, SEED = 256, 512, 20240501
 BUCKETS = 256
 
 
-def pack(encoded: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """Pieces ``(source, block_no, at, doc_id, n, ids)`` of documents (``doc_id``, ``source``, ``ids``) in their source's blocks.
+def _ordered(packed: DataFrame, seed: int) -> DataFrame:
+    """Documents with their place in the pseudorandom order ``_o``, its range ``_b`` and their number of tokens ``_n``."""
+    docs = packed.where("source is not null and length(ids) > 0")
+    docs = docs.withColumn("_o", F.xxhash64(F.lit(seed), "doc_id", "ids")).withColumn("_n", (F.length("ids") / encoding.PACKED_BYTES).cast("bigint"))
+    return docs.withColumn("_b", F.shiftrightunsigned("_o", 64 - int(math.log2(BUCKETS))))
+
+
+def range_totals(packed: DataFrame, seed: int = SEED) -> DataFrame:
+    """``(source, _b, docs, tokens)``: what each range of the order holds, at most ``BUCKETS`` rows per source."""
+    return _ordered(packed, seed).groupBy("source", "_b").agg(F.count("*").alias("docs"), F.sum("_n").alias("tokens"))
+
+
+def pack(packed: DataFrame, totals: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """Pieces ``(source, block_no, at, doc_id, n, ids)`` of documents (``doc_id``, ``source``, packed ``ids``) in their source's blocks.
 
     ``at`` is the piece's place in its block. Every token of every document is in exactly one piece; only a source's last
-    block may be shorter. Running counts are taken within hashed ranges of each source and shifted by the ranges' totals, so no
-    source is ever in one task.
+    block may be shorter. Running counts are taken within hashed ranges of each source and shifted by the ranges' ``totals``,
+    so no source is ever in one task. The documents' tokens are shuffled once.
     """
-    order = F.xxhash64(F.lit(seed), "doc_id", "ids")
-    docs = encoded.where("source is not null and size(ids) > 0").select("doc_id", "source", "ids", order.alias("_o"), F.size("ids").cast("bigint").alias("_n"))
-    docs = docs.withColumn("_b", F.shiftrightunsigned("_o", 64 - int(math.log2(BUCKETS))))
-    totals = docs.groupBy("source", "_b").agg(F.sum("_n").alias("_t"))  # at most BUCKETS rows per source
-    shift = totals.select("source", "_b", (F.sum("_t").over(Window.partitionBy("source").orderBy("_b")) - F.col("_t")).alias("_shift"))
+    shift = totals.select("source", "_b", (F.sum("tokens").over(Window.partitionBy("source").orderBy("_b")) - F.col("tokens")).alias("_shift"))
     within = Window.partitionBy("source", "_b").orderBy("_o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(shift, ["source", "_b"])
+    placed = _ordered(packed, seed).withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(shift), ["source", "_b"])
     start = F.col("_shift") + F.col("_before")
     blocks = F.sequence(F.floor(start / block_tokens), F.floor((start + F.col("_n") - 1) / block_tokens))
-    pieces = placed.select("source", "doc_id", "ids", start.alias("_start"), F.explode(blocks).alias("block_no"))
-    first = F.greatest(F.lit(0), F.col("block_no") * block_tokens - F.col("_start"))
-    last = F.least(F.size("ids"), (F.col("block_no") + 1) * block_tokens - F.col("_start"))
-    cut = pieces.select("source", "block_no", "doc_id", first.cast("int").alias("_f"), last.cast("int").alias("_l"), "ids", "_start")
-    return cut.select("source", "block_no", (F.col("_start") + F.col("_f") - F.col("block_no") * block_tokens).cast("int").alias("at"), "doc_id", (F.col("_l") - F.col("_f")).alias("n"), F.slice("ids", F.col("_f") + 1, F.col("_l") - F.col("_f")).alias("ids"))
+    pieces = placed.select("source", "doc_id", "ids", "_n", start.alias("_start"), F.explode(blocks).alias("block_no"))
+    first = F.greatest(F.lit(0), F.col("block_no") * block_tokens - F.col("_start")).cast("int")
+    last = F.least(F.col("_n"), (F.col("block_no") + 1) * block_tokens - F.col("_start")).cast("int")
+    cut = pieces.select("source", "block_no", "doc_id", first.alias("_f"), (last - first).alias("n"), "ids", "_start")
+    at = (F.col("_start") + F.col("_f") - F.col("block_no") * block_tokens).cast("int")
+    return cut.select("source", "block_no", at.alias("at"), "doc_id", "n", F.substring("ids", F.col("_f") * encoding.PACKED_BYTES + 1, F.col("n") * encoding.PACKED_BYTES).alias("ids"))
 
 
 def plan_quotas(sources: pd.DataFrame, total_tokens: int, block_tokens: int = BLOCK_TOKENS) -> pd.DataFrame:
@@ -89,7 +100,6 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("bigint")
 def _block_of(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permute(slot.to_numpy(np.int64) % blocks.to_numpy(np.int64), blocks.to_numpy(np.int64), key.to_numpy(np.int64)))
 
@@ -106,10 +116,11 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     configuration); documents may be any number.
     """
     spark = docs.sparkSession
-    coded = materialize(encoding.encode(docs.where("source is not null"), "text", ["doc_id", "source"], vocabulary))
-    pieces = pack(coded, block_tokens, seed)
+    coded = store(encoding.encode(docs.where("source is not null"), "text", ["doc_id", "source"], vocabulary, packed=True))
+    totals = materialize(range_totals(coded, seed))
+    pieces = pack(coded, totals, block_tokens, seed)
     targets = targets.where("source is not null").groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
-    sizes = coded.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.size("ids")).cast("bigint").alias("tokens"))
+    sizes = totals.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     plan = sizes.join(targets, "source", "full_outer").select("source", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "target_share", "max_repeats").orderBy("source").toPandas()  # one row per source
     plan["blocks"] = -(-plan.tokens // block_tokens)
     aim = int(plan.tokens.sum()) if total_tokens is None else total_tokens
@@ -122,19 +133,30 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     draws = spark.createDataFrame([tuple(map(_plain, r)) for r in table.itertuples(index=False)], schema)
     slots = draws.select("shard", "source", "blocks", "source_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at_source"))
     slots = slots.withColumn("repeat", F.floor(F.col("at_source") / F.col("blocks")))
-    slots = slots.withColumn("block_no", _block_of("at_source", "blocks", F.col("source_no") * 1_000_003 + F.col("repeat") + seed))
-    blocks = pieces.groupBy("source", "block_no").agg(F.sum("n").cast("int").alias("n_tokens"), F.count_distinct("doc_id").alias("n_docs"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"])).alias("ids"))
-    mixed = slots.join(blocks, ["source", "block_no"])
+    slots = slots.withColumn("block_no", F.pandas_udf(_block_of, "bigint")("at_source", "blocks", F.col("source_no") * 1_000_003 + F.col("repeat") + seed))
     in_shard = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "source", "at_source"), "source", "at_source")
-    mixed = mixed.withColumn("slot", F.row_number().over(in_shard) - 1).select("shard", "slot", "source", "repeat", "block_no", "n_tokens", "n_docs", "ids")
-    given = slots.join(blocks.select("source", "block_no", "n_tokens"), ["source", "block_no"]).groupBy("source").agg(F.sum("n_tokens").cast("bigint").alias("mixed_tokens"), (F.max("repeat") + 1).alias("most_uses"))
+    slots = slots.withColumn("slot", F.row_number().over(in_shard) - 1)
+    uses = slots.groupBy("source", "block_no").agg(F.collect_list(F.struct("shard", "slot", "repeat")).alias("uses"))  # at most max_repeats each
+    whole = F.array_sort(F.collect_list(F.struct("at", "ids")))  # at most block_tokens pieces
+    blocks = pieces.groupBy("source", "block_no").agg(F.sum("n").cast("int").alias("n_tokens"), F.count("*").alias("n_docs"), whole.alias("parts"))
+    mixed = blocks.join(uses, ["source", "block_no"]).select("source", "block_no", "n_tokens", "n_docs", "parts", F.explode("uses").alias("u"))
+    mixed = mixed.select("u.shard", "u.slot", "source", "u.repeat", "block_no", "n_tokens", "n_docs", F.transform("parts", lambda p: p["ids"]).alias("ids"))
+    mixed = mixed.mapInArrow(_unpack, "shard bigint, slot int, source string, repeat bigint, block_no bigint, n_tokens int, n_docs bigint, ids array<int>")
+    last_block = F.when(F.col("block_no") == F.col("blocks") - 1, F.col("tokens") - F.col("block_no") * block_tokens).otherwise(F.lit(block_tokens))
+    given = slots.join(F.broadcast(sizes.select("source", "tokens")), "source").groupBy("source").agg(F.sum(last_block).cast("bigint").alias("mixed_tokens"), (F.max("repeat") + 1).alias("most_uses"))
     known = spark.createDataFrame([tuple(map(_plain, r)) for r in plan[["source", "docs", "tokens", "target_share", "max_repeats"]].itertuples(index=False)], "source string, docs bigint, tokens bigint, target_share double, max_repeats int")
-    whole = given.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    report = known.join(given, "source", "left").crossJoin(F.broadcast(whole))
+    all_given = given.agg(F.sum("mixed_tokens").alias("all_tokens"))
+    report = known.join(given, "source", "left").crossJoin(F.broadcast(all_given))
     report = report.select("source", "docs", "tokens", "target_share", "max_repeats", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce(F.round(F.col("mixed_tokens") / F.lit(aim), 6), F.lit(0.0)).alias("share_of_total"), F.coalesce(F.round(F.col("mixed_tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("actual_share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
     return mixed, report
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        joined = pa.array([b"".join(x) for x in b.column("ids").to_pylist()], type=pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], encoding.unpack_ids(joined)], b.schema.names)
+
+
 def _plain(x):
     x = x.item() if isinstance(x, np.generic) else x
     return None if x is None or isinstance(x, float) and math.isnan(x) else int(x) if isinstance(x, float) and x.is_integer() and abs(x) > 1 else x
