@@ -150,12 +150,23 @@ class Normalizer:
 
 
 def representatives(counts: dict[str, int], groups: list[list[str]]) -> dict[str, str]:
-    """Each member's representative: the commonest member of its class (ties: the least)."""
-    out = {}
-    for members in groups:
-        best = min(members, key=lambda m: (-counts.get(m, 0), m))
-        out |= {m: best for m in members if m != best}
-    return out
+    """Each member's representative: the commonest member of its class (ties: the least).
+
+    In classes that hold strings of several lengths the representative is one of the longest, spelt in representatives of its
+    own characters: rewriting then only ever takes characters apart, and gives one form whatever the mixture it starts from.
+    """
+
+    def best(members: list[str]) -> str:
+        longest = max(map(len, members))
+        return min((m for m in members if len(m) == longest), key=lambda m: (-counts.get(m, 0), m))
+
+    single = {m: best(g) for g in groups if max(map(len, g)) == 1 for m in g}
+    out = dict(single)
+    for g in groups:
+        if max(map(len, g)) > 1:
+            spelt = "".join(single.get(c, c) for c in best(g))
+            out |= dict.fromkeys(g, spelt)
+    return {m: r for m, r in out.items() if m != r}
 
 
 def member_counts(texts: DataFrame, column: str, groups: list[list[str]]) -> dict[str, int]:
