@@ -10,9 +10,17 @@ too many separators.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.runtime import materialize
+
 #: A word belongs to a script's prose if so large a part of the script's pages has it.
 PROSE_PAGES = 0.25
 #: Scripts whose pages usually have less than this share of such words count as having none: their lists are known by separators.
@@ -27,64 +35,164 @@ HEAD, HEAD_RESIDUAL, HEAD_WORDS = 0.36, 1.0, 20
 #: Words that a script's part of a page needs to be judged, and that a page needs in all; words that a link stands for.
 LEAST_PART, LEAST_PAGE, LINK_WORDS = 8, 12, 3
 
-#: The sign that stands for a link, and one before it that counts as a separator of the word before.
-LINK, BEFORE_LINK = "␟", "␞"
-WORD = r"\p{L}[\p{L}\p{M}\p{Nd}]*(?:[״׳'’\"\-]\p{L}[\p{L}\p{M}\p{Nd}]*)*׳?"
-SCRIPTS = {"hebrew": r"[\x{0590}-\x{05FF}\x{FB1D}-\x{FB4F}\x{2135}-\x{2138}]", "latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "han": r"\p{IsHan}"}
+#: The sign that stands for a link.
+LINK = "␟"
+LINKS = re.compile(r"<a\s[^>]*>|\]\([^)\s]*\)|\b(?:https?://|www\.)[^\s<>\")]+|(?<![^\s(])//[^\s<>\")]+|(?<![^\s(])[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}/[^\s<>\")]*", re.IGNORECASE)
+MARKUP = re.compile(r"<[^<>]*>|&#?\w+;")
+#: A word with its marks and what follows it up to the next, or a link.
+TOKEN = re.compile(r"([^\W\d_][\w\u0300-\u036f\u0591-\u05c7\u064b-\u065f]*(?:[״׳'’\"\-][^\W\d_][\w\u0300-\u036f\u0591-\u05c7\u064b-\u065f]*)*)([^\w␟]*)|␟")
+PLAIN_WORD = re.compile(r"[a-z][a-z0-9_]*(?:['\"\-][a-z][a-z0-9_]*)*")
+PLAIN_START, LINE_END = re.compile(r"[^a-z]*"), re.compile(r"[^a-z0-9_]*\n[^a-z0-9_]*")
+SEPARATOR = re.compile(r"(?<![^\s\x00])-(?![^\s\x00])|[^\w\s.?!;\"'״׳’:()\[\]\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u200b-\u200f\u2060\ufeff\u00ad\x00\-]|;(?=\s|\x00|$)")
+SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x591, 0x5FF), ("arabic", 0x600, 0x6FF), ("hebrew", 0x2135, 0x2138), ("han", 0x4E00, 0x9FFF), ("hebrew", 0xFB1D, 0xFB4F), ("latin", 0xFF21, 0xFF5A))
 
 
-def visible_text(text: Column) -> Column:
-    """Text as a reader sees it: markup gone, every link as one sign."""
-    links = r"(?is)<a\s[^>]*>|\]\([^)\s]*\)|\bhttps?://[^\s<>\")]+|\bwww\.[^\s<>\")]+|(?<![^\s(])//[^\s<>\")]+|(?<![^\s(])[\w\-]+(?:\.[\w\-]+)*\.\p{Alpha}{2,}/[^\s<>\")]*"
-    return F.regexp_replace(F.regexp_replace(text, links, f" {BEFORE_LINK}{LINK} "), r"<[^<>]*>|&#?\w+;", " ")
+def script_of(word: str) -> str:
+    c = ord(word[0])
+    return next((name for name, lo, hi in SCRIPTS if lo <= c <= hi), "other")
 
 
-def script_of(word: Column) -> Column:
-    out = F.when(word.startswith(LINK), "link")
-    for name, letters in SCRIPTS.items():
-        out = out.when(word.rlike("^" + letters), name)
-    return out.otherwise("other")
+def _separators(tails: list[str]) -> int:
+    """Separators in what follows words; a line that ends without a stop counts as one."""
+    n = len(SEPARATOR.findall("\x00".join(tails)))
+    return n + sum("\n" in t and not ("." in t or "?" in t or "!" in t) for t in tails)
 
 
-def page_words(text: Column) -> Column:
-    """``array<struct<script, word, tail>>``: words in lower case with what follows each up to the next, and links."""
-    found = F.regexp_extract_all(visible_text(text), F.lit(rf"(?:{WORD}|{LINK})[^\p{{L}}{LINK}]*"), 0)
-    word = lambda t: F.lower(F.regexp_extract(t, rf"^(?:{WORD}|{LINK})", 0))
-    signs = lambda t: F.regexp_count(t, F.lit(r"(?<!\S)-(?!\S)|[^\s\p{L}\p{M}\p{Nd}\p{Z}\p{C}.?!\"'״׳’:()\[\]\-]"))
-    line = lambda t: (t.contains("\n") & ~t.rlike("[.?!]")).cast("int")
-    return F.transform(found, lambda t: F.struct(script_of(t).alias("script"), word(t).alias("word"), (signs(t) + line(t)).alias("separators")))
+def page_words(text: str, with_separators: bool = True) -> tuple[dict[str, list[str]], dict[str, int]]:
+    """Of a page, by script: its words in lower case, and how many separators follow them.
 
-
-def prose_words(words: DataFrame) -> DataFrame:
-    """``(script, word)`` of prose: at most the mean number of different words of a page over ``PROSE_PAGES`` for each script."""
-    parts = words.select(F.explode(F.array_distinct(F.transform("words", lambda w: F.struct(w["script"].alias("script"), w["word"].alias("word"))))).alias("w")).select("w.*").where("script <> 'link'")
-    pages = words.select(F.explode(F.array_distinct(F.transform("words", lambda w: w["script"]))).alias("script")).groupBy("script").agg(F.count("*").alias("pages"))
-    counted = parts.groupBy("script", "word").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(pages), "script").where(F.col("n") >= PROSE_PAGES * F.col("pages")).select("script", "word")
+    A link counts as a word of the script 'link', and as a separator of the word before it; so does a line that ends without a
+    stop. Markup isn't text.
+    """
+    text = text.lower()
+    if "/" in text or "<" in text or "&" in text:
+        text = MARKUP.sub(" ", LINKS.sub(f" {LINK} ", text))
+    if text.isascii():  # of one script and without links: words and tails need no sorting
+        found = PLAIN_WORD.findall(text)
+        if not found or not with_separators:
+            return ({"latin": found} if found else {}), {}
+        start = PLAIN_START.search(text).end()
+        n = len(SEPARATOR.findall(text, start))
+        if "\n" in text:
+            n += sum(not ("." in t or "?" in t or "!" in t) for t in LINE_END.findall(text, start))
+        return {"latin": found}, {"latin": n}
+    words: dict[str, list[str]] = {}
+    tails: dict[str, list[str]] = {}
+    script, known = "", {}
+    for word, tail in TOKEN.findall(text):
+        if not word:
+            words.setdefault("link", []).append(LINK)
+            if script:
+                tails[script].append(LINK)
+            continue
+        script = known.get(word) or known.setdefault(word, script_of(word))
+        if script in words:
+            words[script].append(word)
+        else:
+            words[script] = [word]
+            tails[script] = []
+        if tail and tail != " ":
+            tails[script].append(tail)
+    return words, {s: _separators(t) for s, t in tails.items()} if with_separators else {}
+
+
+def _blank(text: str | None) -> bool:
+    return text is None or not text.strip()
+
+
+def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts: on how many pages each word of each script is; the word '' stands for the pages of the script."""
+    counts: dict[str, Counter[str]] = {}
+
+    def flush() -> pa.RecordBatch:
+        triples = [(s, w, n) for s, c in counts.items() for w, n in c.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([t[i] for t in triples], type=kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["script", "word", "n"])
+
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            if not _blank(text):
+                for script, found in page_words(text, False)[0].items():
+                    if script not in counts:
+                        counts[script] = Counter()
+                    counts[script].update({"", *found})
+        if sum(map(len, counts.values())) > 500_000:
+            yield flush()
+    if counts:
+        yield flush()
+
+
+def prose_words(docs: DataFrame, text: str) -> dict[str, set[str]]:
+    """The words that at least ``PROSE_PAGES`` of a script's pages have. For each script they are at most as many as a page has
+    different words on average, over ``PROSE_PAGES``: hundreds, however large the corpus."""
+    counted = docs.select(text).mapInArrow(_count_pages, "script string, word string, n bigint").groupBy("script", "word").agg(F.sum("n").alias("n"))
+    whole = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("script"))
+    common = counted.where(F.col("script") != "link").withColumn("pages", whole).where((F.col("n") >= PROSE_PAGES * F.col("pages")) & (F.col("word") != ""))
+    out: dict[str, set[str]] = {}
+    for r in common.select("script", "word").collect():
+        out.setdefault(r["script"], set()).add(r["word"])
+    return out
+
+
+def _spectra(prose: dict[str, set[str]], key_type: pa.DataType):
+    """Each page as its frequency spectrum: how many words of a script (prose words or others) occur how often."""
+    names, kinds = ["page", "copy", "script", "is_prose", "f", "m", "s"], [key_type, pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for page, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if page is None or _blank(text):
+                    continue
+                copy = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+                words, separators = page_words(text)
+                for script, found in words.items():
+                    common, left = prose.get(script, ()), separators.get(script, 0)
+                    often = Counter(found)
+                    usual = Counter([often.pop(w) for w in common if w in often])
+                    for is_prose, spectrum in ((True, usual), (False, Counter(often.values()))):
+                        for f, m in spectrum.items():
+                            out.append((page, copy, script, is_prose, f, m, left))
+                            left = 0
+            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=kind) for i, kind in enumerate(kinds)], names)
+
+    return run
 
 
 def page_curves(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per page and script: ``n`` words, ``prose`` share, ``head`` share, ``separators`` per word, ``slope`` and ``residual``."""
-    pages = docs.select(F.col(key).alias("page"), F.col(text).alias("text")).where("page is not null and text is not null and trim(text) <> ''")
-    prose = prose_words(pages.select(page_words(F.col("text")).alias("words")))
-    spread = pages.repartition("page").select("page", F.explode(page_words(F.col("text"))).alias("w")).select("page", "w.*")
-    words = spread.groupBy("page", "script", "word").agg(F.count("*").alias("f"), F.sum("separators").alias("s"))
-    words = words.join(F.broadcast(prose.withColumn("is_prose", F.lit(True))), ["script", "word"], "left").withColumn("is_prose", F.coalesce("is_prose", F.lit(False)))
-    ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy("page", "script").orderBy(F.desc("f"), "word")))
-    ranked = ranked.withColumn("other_rank", F.row_number().over(Window.partitionBy("page", "script").orderBy("is_prose", F.desc("f"), "word")))
-    x, y = F.log("rank"), F.log("f")
-    fit = ranked.groupBy("page", "script").agg(
-        F.sum("f").alias("n"),
+    """One row per page and script: ``n`` words, ``prose`` share, ``head`` share, ``separators`` per word, ``slope`` and ``residual``.
+
+    Windows rank the words of a page's script by frequency, and its other words apart; ranks with one frequency lie together,
+    so that a page takes a handful of rows, which are spread out to single ranks only for the fit.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    key_type = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+    prose = prose_words(docs, text)
+    spectra = docs.select(key, text).mapInArrow(_spectra(prose, key_type), f"page {kind}, copy bigint, script string, is_prose boolean, f int, m int, s int")
+    page = ["page", "copy", "script"]
+    rows = spectra.repartition("page", "copy").groupBy(*page, "is_prose", "f").agg(F.max("m").alias("m"), F.max("s").alias("s"))  # rows given twice count once
+    by_rank = Window.partitionBy(*page).orderBy(F.desc("f"), "is_prose")
+    others = Window.partitionBy(*page).orderBy("is_prose", F.desc("f"))
+    ranked = rows.withColumn("last", F.sum("m").over(by_rank)).withColumn("last_other", F.sum("m").over(others))
+    in_head = F.when(~F.col("is_prose"), F.greatest(F.lit(0), F.least(F.col("m"), 3 - (F.col("last_other") - F.col("m"))))).otherwise(0)
+    ranked = ranked.withColumn("h", in_head * F.col("f")).withColumn("x", F.transform(F.sequence(F.col("last") - F.col("m") + 1, "last"), lambda r: F.log(r)))
+    ranked = ranked.withColumn("sx", F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).withColumn("sxx", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).withColumn("y", F.log("f"))
+    sums = ranked.groupBy(*page).agg(
+        F.sum(F.col("f") * F.col("m")).alias("n"),
         F.sum("s").alias("s"),
-        F.sum(F.when(F.col("is_prose"), F.col("f")).otherwise(0)).alias("p"),
-        F.sum(F.when(~F.col("is_prose") & (F.col("other_rank") <= 3), F.col("f")).otherwise(0)).alias("h"),
-        F.count("*").alias("types"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_syy(y, x).alias("syy"),
-        F.regr_sxy(y, x).alias("sxy"),
+        F.sum(F.when(F.col("is_prose"), F.col("f") * F.col("m")).otherwise(0)).alias("p"),
+        F.sum("h").alias("h"),
+        F.sum("m").alias("v"),
+        F.sum("sx").alias("sx"),
+        F.sum("sxx").alias("sxx"),
+        F.sum(F.col("y") * F.col("m")).alias("sy"),
+        F.sum(F.col("y") * F.col("sx")).alias("sxy"),
+        F.sum(F.col("y") * F.col("y") * F.col("m")).alias("syy"),
     )
-    rough = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy")) / F.col("types"))
-    return fit.select("page", "script", "n", (F.col("p") / F.col("n")).alias("prose"), (F.col("h") / F.col("n")).alias("head"), (F.col("s") / F.col("n")).alias("separators"), F.coalesce(-F.col("slope"), F.lit(0.0)).alias("slope"), F.coalesce(rough, F.lit(0.0)).alias("residual"))
+    cxx, cxy, cyy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("v"), F.col("sxy") - F.col("sx") * F.col("sy") / F.col("v"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("v")
+    slope = F.when(F.col("v") > 1, cxy / cxx).otherwise(0.0)
+    rough = F.sqrt(F.greatest(F.lit(0.0), cyy - slope * cxy) / F.col("v"))
+    return sums.select("page", "copy", "script", "n", (F.col("p") / F.col("n")).alias("prose"), (F.col("h") / F.col("n")).alias("head"), (F.col("s") / F.col("n")).alias("separators"), (-slope).alias("slope"), rough.alias("residual"))
 
 
 def usual_curves(curves: DataFrame) -> DataFrame:
@@ -114,11 +222,11 @@ def junk_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """``(page, junk_words, words)`` of pages that are for the greater part stuffing or lists.
 
     Null, blank and near-empty texts (under ``LEAST_PAGE`` words in judged parts) are none, nor are pages with a null key. Whole
-    texts are judged, copies each for itself; rows that repeat a key are read as one page. An empty table gives none.
+    texts are judged, copies each for itself; a key with several texts is junk if one of them is, and comes once. An empty table
+    gives none.
     """
-    from spanloom.runtime import materialize
-
     parts = judge(materialize(page_curves(docs, key, text)))
     weight = F.when(F.col("script") == "link", F.col("n") * LINK_WORDS).when(F.col("n") >= LEAST_PART, F.col("n")).otherwise(0)
-    pages = parts.groupBy("page").agg(F.sum(F.when(F.col("why").isNotNull(), weight).otherwise(0)).alias("junk_words"), F.sum(weight).alias("words"))
-    return pages.where((F.col("words") >= LEAST_PAGE) & (F.col("junk_words") > 0.5 * F.col("words")))
+    copies = parts.groupBy("page", "copy").agg(F.sum(F.when(F.col("why").isNotNull(), weight).otherwise(0)).alias("junk_words"), F.sum(weight).alias("words"))
+    junk = copies.where((F.col("words") >= LEAST_PAGE) & (F.col("junk_words") > 0.5 * F.col("words")))
+    return junk.groupBy("page").agg(F.max("junk_words").alias("junk_words"), F.max("words").alias("words"))
