@@ -15,13 +15,13 @@ def words(c: Column) -> Column:
 
 
 def shingles(w: Column, n: int) -> Column:
-    """All runs of ``n`` words, in order; none when there are fewer words."""
+    """All runs of ``n`` words, in order; none when there are fewer words. ``w`` must be a plain column: it is read once per run."""
     last = F.size(w) - n
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.expr("array()").cast("array<string>"))
 
 
 def containment(needle: Column, hay: Column, n: int = 4) -> Column:
-    """The share of the needle's runs of ``n`` words that the other text has; null when the needle is too short."""
+    """The share of the needle's runs of ``n`` words that the other text has; null when the needle is too short. Plain columns of words."""
     a = F.array_distinct(shingles(needle, n))
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, shingles(hay, n))) / F.size(a))
 
@@ -34,9 +34,10 @@ def locate(queries: DataFrame, corpus: DataFrame, n: int = 6, gap: int = 5) -> D
     more than ``gap`` segments apart, and the run with the most anchors counts (ties: the earliest). Queries without anchors
     don't come. Both sides meet by hashed shingles; repeated rows change nothing.
     """
-    where = corpus.where("pos is not null").select("group", "pos", F.explode(F.array_distinct(shingles(words(F.col("text")), n))).alias("s")).select("group", "pos", F.xxhash64("s").alias("h"), "s").distinct()
+    spelt = corpus.where("pos is not null").select("group", "pos", words(F.col("text")).alias("w"))
+    where = spelt.select("group", "pos", F.explode(F.array_distinct(shingles(F.col("w"), n))).alias("s")).select("group", "pos", F.xxhash64("s").alias("h"), "s").distinct()
     unique = where.groupBy("group", "h", "s").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).where("n = 1").select("group", "h", "s", "pos")
-    asked = queries.select("id", "group", F.explode(F.array_distinct(shingles(words(F.col("text")), n))).alias("s")).select("id", "group", F.xxhash64("s").alias("h"), "s").distinct()
+    asked = queries.select("id", "group", words(F.col("text")).alias("w")).select("id", "group", F.explode(F.array_distinct(shingles(F.col("w"), n))).alias("s")).select("id", "group", F.xxhash64("s").alias("h"), "s").distinct()
     hits = asked.join(unique, ["group", "h", "s"]).groupBy("id", "group", "pos").agg(F.count("*").alias("k"))
     order = Window.partitionBy("id", "group").orderBy("pos")
     runs = hits.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(order) > gap).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(order))
@@ -54,8 +55,8 @@ def shared_passages(docs: DataFrame, n: int = 5, common: int = 4, least: int = 8
     shared over the smaller number, at least ``share``. Classes that are of the same group only aren't compared.
     """
     classes = text_classes(docs)
-    one = classes.where("id = class")
-    runs = materialize(one.select("class", "group", F.explode(F.array_distinct(shingles(F.split("words", " "), n))).alias("s")).select("class", "group", F.xxhash64("s", F.reverse("s")).alias("h")))
+    one = classes.where("id = class").select("class", "group", F.split("words", " ").alias("w"))
+    runs = materialize(one.select("class", "group", F.explode(F.array_distinct(shingles(F.col("w"), n))).alias("s")).select("class", "group", F.xxhash64("s", F.reverse("s")).alias("h")))
     telling = materialize(_few(runs, common))
     size = telling.select(F.explode("in").alias("c")).groupBy(F.col("c.class").alias("class")).agg(F.count("*").alias("size")).where(F.col("size") >= least)
     pairs = telling.where(F.size("in") > 1).select(F.explode("in").alias("x"), "in").select("x", F.explode("in").alias("y")).where("x.class < y.class and not (x.group <=> y.group)")

@@ -5,7 +5,9 @@ A span is a row with ``ref``, ``lo`` and ``hi`` (inclusive) and whatever else; a
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +74,8 @@ def greedy_match(golden: DataFrame, found: DataFrame, least: float = 0.3) -> Dat
     grouped by page.
     """
 
-    def match(key: tuple, g: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        free, out = f.sort_values(["lo", "hi", "id"]).to_dict("records"), []
-        for a in g.sort_values(["lo", "hi", "id"]).to_dict("records"):
+    def match(page: str, golden: list[dict], free: list[dict], out: list[tuple]) -> None:
+        for a in golden:
             best, at = 0.0, -1
             for i, b in enumerate(free):
                 inter = max(0, min(a["hi"], b["hi"]) - max(a["lo"], b["lo"]) + 1)
@@ -82,11 +83,30 @@ def greedy_match(golden: DataFrame, found: DataFrame, least: float = 0.3) -> Dat
                 if score > best:
                     best, at = score, i
             if at >= 0 and best >= least:
-                out.append((key[0], a["id"], free.pop(at)["id"], best))
-        return pd.DataFrame(out, columns=["ref", "g_id", "f_id", "iou"]).astype({"ref": object, "g_id": object, "f_id": object})
-
-    pick = lambda df: df.where("lo <= hi").select("ref", "id", "lo", "hi").groupBy("ref")
-    return pick(golden).cogroup(pick(found)).applyInPandas(match, "ref string, g_id string, f_id string, iou double")
+                out.append((page, a["id"], free.pop(at)["id"], best))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by page; a page may run over several batches."""
+        page, sides = None, ([], [])
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                if r["ref"] != page:
+                    match(page, *sides, out)
+                    page, sides = r["ref"], ([], [])
+                sides[r["side"]].append(r)
+            yield frame(out)
+        out = []
+        match(page, *sides, out)
+        yield frame(out)
+
+    def frame(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=k) for i, k in enumerate(kinds)], ["ref", "g_id", "f_id", "iou"])
+
+    pick = lambda df, side: df.where("lo <= hi and ref is not null").select("ref", "id", "lo", "hi", F.lit(side).alias("side"))
+    rows = pick(golden, 0).unionByName(pick(found, 1)).repartition("ref").sortWithinPartitions("ref", "side", "lo", "hi", "id")
+    return rows.mapInArrow(run, "ref string, g_id string, f_id string, iou double")
 
 
 def islands(spans: DataFrame, gap: int = 0) -> DataFrame:

@@ -24,8 +24,9 @@ def passage_locate(spark: SparkSession, d: str) -> DataFrame:
 
 def passage_containment(spark: SparkSession, d: str) -> DataFrame:
     """How much of each expert text its page's segments hold, segment by segment, where any."""
-    seg = base.segments(spark, d).select("ref", "seg_idx", "english")
-    pair = _listed(spark, d).join(seg, "ref").withColumn("share", passages.containment(passages.words(F.col("english")), passages.words(F.col("expert_text"))))
+    seg = base.segments(spark, d).select("ref", "seg_idx", passages.words(F.col("english")).alias("own"))
+    asked = _listed(spark, d).select("entry_id", "ref", passages.words(F.col("expert_text")).alias("text"))
+    pair = asked.join(seg, "ref").withColumn("share", passages.containment(F.col("own"), F.col("text")))
     return pair.where("share > 0").select("entry_id", "seg_idx", F.round("share", 6).alias("share"))
 
 
