@@ -116,3 +116,17 @@ def wilson(hits: Column, n: Column, upper: bool, z: float = 1.96) -> Column:
     """The Wilson bound of a share, rounded to three places; null for no trials."""
     p, sign = hits / n, 1 if upper else -1
     return F.when(n > 0, F.round((p + z * z / (2 * n) + sign * z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 3))
+
+
+def accent_fold(c: Column) -> Column:
+    """Lower-case Latin letters without accents; everything but letters a-z and blanks goes."""
+    import unicodedata
+
+    marked = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in range(0xC0, 0x250) if unicodedata.decomposition(chr(i)) and not unicodedata.decomposition(chr(i)).startswith("<")}
+    return F.regexp_replace(F.lower(F.translate(c, "".join(marked), "".join(marked.values()))), "[^a-z ]", "")
+
+
+def kept_offsets(c: Column, dropped: str) -> Column:
+    """Places (from 0) in the original of the characters that are left when those matching ``dropped`` are gone."""
+    chars = F.split(c, "")
+    return F.filter(F.transform(chars, lambda x, i: F.when((x != "") & ~x.rlike(dropped), i)), F.isnotnull)

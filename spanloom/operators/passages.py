@@ -76,3 +76,55 @@ def text_classes(docs: DataFrame) -> DataFrame:
     w = docs.where("id is not null").withColumn("words", F.array_join(words(F.coalesce("text", F.lit(""))), " ")).where("words <> ''")
     first = w.groupBy("words").agg(F.min("id").alias("class"))
     return w.join(first, "words")
+
+
+def locate_fuzzy(queries: DataFrame, corpus: DataFrame, n: int = 4, seeds: int = 12, back: int = 6, width: int = 14, enough: float = 0.97) -> DataFrame:
+    """``(id, group, first_pos, last_pos, coverage)``: the stretch of a group's segments that holds most of a query's word runs.
+
+    Each segment gets a vote for every run of ``n`` words it shares with the query; stretches start up to ``back`` segments before
+    one of the ``seeds`` segments with most votes and are up to ``width`` long. The best coverage wins, of equal ones the
+    shortest, then the earliest stretch; a stretch isn't widened past ``enough``. For every start the coverage of all lengths
+    comes from one running count over where each run first occurs.
+    """
+    spelt = corpus.where("pos is not null").select("group", "pos", words(F.col("text")).alias("w"))
+    where = spelt.select("group", "pos", F.explode(F.array_distinct(shingles(F.col("w"), n))).alias("s"))
+    asked = queries.select("id", "group", words(F.col("text")).alias("w")).select("id", "group", F.array_distinct(shingles(F.col("w"), n)).alias("g")).where("size(g) > 0")
+    size = asked.select("id", "group", F.size("g").alias("size")).distinct()
+    hits = materialize(asked.select("id", "group", F.explode("g").alias("s")).distinct().join(where.distinct(), ["group", "s"]))
+    votes = hits.groupBy("id", "group", "pos").agg(F.count("*").alias("k"))
+    best = votes.withColumn("r", F.row_number().over(Window.partitionBy("id", "group").orderBy(F.desc("k"), "pos"))).where(F.col("r") <= seeds)
+    starts = best.select("id", "group", F.explode(F.sequence(F.col("pos") - back, "pos")).alias("start")).distinct()
+    inside = starts.join(hits, ["id", "group"]).where(F.col("pos").between(F.col("start"), F.col("start") + width - 1))
+    first = inside.groupBy("id", "group", "start", "s").agg(F.min("pos").alias("pos"))
+    grown = first.groupBy("id", "group", "start", "pos").agg(F.count("*").alias("k")).join(size, ["id", "group"])
+    so_far = Window.partitionBy("id", "group", "start").orderBy("pos")
+    cover = grown.withColumn("coverage", F.round(F.sum("k").over(so_far) / F.col("size"), 6))
+    wide = cover.withColumn("_before", F.lag("coverage").over(so_far)).where(F.coalesce(F.col("_before") < enough, F.lit(True)))
+    begun = wide.groupBy("id", "group", "start").agg(F.max(F.struct("coverage", (-F.col("pos")).alias("o"))).alias("b"), F.min("pos").alias("first_pos"))
+    pick = F.max(F.struct(F.col("b.coverage"), (F.col("first_pos") + F.col("b.o")).alias("short"), (-F.col("first_pos")).alias("early")))
+    return begun.groupBy("id", "group").agg(pick.alias("p")).select("id", "group", (-F.col("p.early")).alias("first_pos"), (-F.col("p.early") - F.col("p.short")).alias("last_pos"), "p.coverage")
+
+
+def align(pairs: DataFrame, least_block: int = 5) -> DataFrame:
+    """``(id, matched, start, end)`` for pairs (``id, needle, hay``): the share of the needle's words in common blocks of
+    ``least_block`` words or more, and the words of the other text between which they lie (end exclusive); nulls without a block.
+
+    Sequence alignment has no built-in expression: it runs on Arrow batches, one pair at a time.
+    """
+
+    def run(batches):
+        from difflib import SequenceMatcher
+
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                a, z = (r["needle"] or []), (r["hay"] or [])
+                blocks = [m for m in SequenceMatcher(None, a, z, autojunk=False).get_matching_blocks() if m.size >= least_block]
+                found = bool(blocks)
+                out.append((r["id"], round(sum(m.size for m in blocks) / len(a), 6) if a else 0.0, blocks[0].b if found else None, blocks[-1].b + blocks[-1].size if found else None))
+            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=k) for i, k in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))], ["id", "matched", "start", "end"])
+
+    spelt = pairs.select(F.col("id").cast("string"), words(F.col("needle")).alias("needle"), words(F.col("hay")).alias("hay"))
+    return spelt.mapInArrow(run, "id string, matched double, start int, end int")

@@ -62,3 +62,26 @@ def follow_pointers(pointers: DataFrame, key: str, to: str) -> DataFrame:
         nxt = state.select(F.col("k").alias("at"), F.col("at").alias("_a"), F.col("done").alias("_d"))
         state = materialize(state.join(nxt, "at", "left").select("k", F.when(F.col("done"), F.col("at")).otherwise(F.col("_a")).alias("at"), (F.col("done") | F.coalesce("_d", F.lit(True))).alias("done")))
     return state.select(F.col("k").alias(key), F.when(F.col("done"), F.col("at")).alias("target"))
+
+
+def poisson_bootstrap(rows: DataFrame, key: str, hit: str, draws: int = 200, seed: int = 1) -> DataFrame:
+    """``(share, low, high)`` of a 0/1 column, with the 2.5 and 97.5 percentiles over ``draws`` resamples.
+
+    Each row weighs in each resample by a Poisson number made from a hash of its key, the draw and the seed: the same for the same
+    data however it is partitioned, and summed in one partial aggregate.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1_000_003)) / 1_000_003.0
+    steps = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406]  # fixed values: the Poisson distribution with mean 1
+    weight = reduce(lambda acc, s: acc + (u >= s).cast("int"), steps, F.lit(0))
+    drawn = rows.where(F.col(hit).isNotNull()).select(key, F.col(hit).cast("int").alias("hit"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
+    each = drawn.groupBy("draw").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("share"))
+    whole = rows.agg(F.avg(F.col(hit).cast("int")).alias("share"))
+    return whole.crossJoin(each.agg(F.percentile("share", 0.025).alias("low"), F.percentile("share", 0.975).alias("high")))
+
+
+def edge_scores(targets: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """How well the first found span over each target (``key, ref, lo, hi``) meets its start: HIT, NEAR (one off), MISS, or NONE."""
+    over = targets.select(key, "ref", F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi")).join(found.select("ref", "lo", "hi"), "ref").where("lo <= t_hi and t_lo <= hi")
+    first = over.groupBy(key).agg(F.min(F.struct("lo", "hi")).alias("f"))
+    off = F.abs(F.col("f.lo") - F.col("lo"))
+    return targets.join(first, key, "left").withColumn("score", F.when(F.col("f").isNull(), "NONE").when(off == 0, "HIT").when(off == 1, "NEAR").otherwise("MISS")).drop("f")

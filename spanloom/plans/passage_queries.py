@@ -42,8 +42,23 @@ def text_classes(spark: SparkSession, d: str) -> DataFrame:
     return passages.text_classes(docs).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))
 
 
+def passage_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """The stretch of its corpus that holds most of each expert text."""
+    asked = _listed(spark, d).select(F.col("entry_id").alias("id"), F.col("corpus").alias("group"), F.col("expert_text").alias("text"))
+    text = base.segments(spark, d).select(F.col("corpus").alias("group"), "pos", F.col("english").alias("text"))
+    return passages.locate_fuzzy(asked, text).select(F.col("id").alias("entry_id"), "first_pos", "last_pos", "coverage")
+
+
+def passage_align(spark: SparkSession, d: str) -> DataFrame:
+    """How each expert text aligns with the running text of its page."""
+    seg = base.segments(spark, d).where("english is not null")
+    page = seg.groupBy("ref").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "english"))), lambda x: x["english"])).alias("hay"))
+    pairs = _listed(spark, d).join(page, "ref").select(F.col("entry_id").alias("id"), F.col("expert_text").alias("needle"), "hay")
+    return passages.align(pairs).where("matched > 0")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (passage_locate, passage_containment, shared_passages, text_classes)}
+    return {f.__name__: f for f in (passage_locate, passage_fuzzy, passage_align, passage_containment, shared_passages, text_classes)}
 
 
 def _words(c: str) -> str:

@@ -144,8 +144,19 @@ def decision_table(spark: SparkSession, d: str) -> DataFrame:
     return df.select("entry_id", scoring.decide(df, RULES, "out_of_scope").alias("verdict"))
 
 
+def edge_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How the starts that boundary notes name meet the stories over them."""
+    notes = read(spark, d, "boundary_notes").where("page_ref is not null and start_segment is not null").groupBy("note_id").agg(F.min("page_ref").alias("ref"), F.min("start_segment").alias("lo"), F.max(F.coalesce("end_segment", "start_segment")).alias("hi"))
+    return scoring.edge_scores(notes, base.stories(spark, d).where("lo <= hi and ref is not null"), "note_id").select("note_id", "score")
+
+
+def bootstrap_share(spark: SparkSession, d: str) -> DataFrame:
+    """The share of listed entries that the detector proposed, with a bootstrap interval."""
+    return scoring.poisson_bootstrap(_entries(spark, d).where("expert_listed"), "entry_id", "proposed")
+
+
 def queries() -> dict:
-    fs = [label_confusion, wilson_by_judge, judge_agreement, judge_stability, boundary_stats, density_buckets, recall_funnel, gate_text, completeness, additive_guard, stratified_sample, batches, weekly_buckets, last_active_week, ledger_insert, dedupe_counts, pointer_targets, decision_table]
+    fs = [edge_scores, bootstrap_share, label_confusion, wilson_by_judge, judge_agreement, judge_stability, boundary_stats, density_buckets, recall_funnel, gate_text, completeness, additive_guard, stratified_sample, batches, weekly_buckets, last_active_week, ledger_insert, dedupe_counts, pointer_targets, decision_table]
     return {f.__name__: f for f in fs}
 
 
@@ -176,6 +187,10 @@ g AS (SELECT corpus, sum(missing)::double AS a, round(sum(blank) / sum(n), 6) AS
 l AS (SELECT corpus, 'missing_segments' AS "check", a AS measured, 0.0 AS "limit" FROM g UNION ALL SELECT corpus, 'blank_share', b, 0.05 FROM g UNION ALL SELECT corpus, 'page_holes', c, 0.0 FROM g)
 SELECT corpus, "check", measured, "limit"::double AS "limit", CASE WHEN measured <= "limit" THEN 'green' WHEN "check" = 'page_holes' THEN 'amber' ELSE 'red' END AS status FROM l""",
         "completeness": with_(SEG, PAGE, STORY) + ", n AS (SELECT ref, count(*) AS stories FROM story WHERE ref IS NOT NULL GROUP BY ref) SELECT coalesce(page.ref, n.ref) AS ref, CASE WHEN last IS NULL THEN 'no_text' WHEN stories IS NULL THEN 'no_story' ELSE 'both' END AS state FROM page FULL JOIN n ON page.ref = n.ref",
+        "edge_scores": with_(STORY, GOOD)
+        + """, t AS (SELECT note_id, min(page_ref) AS ref, min(start_segment) AS lo, max(coalesce(end_segment, start_segment)) AS hi FROM boundary_notes WHERE page_ref IS NOT NULL AND start_segment IS NOT NULL GROUP BY note_id),
+f AS (SELECT note_id, min(g.lo) AS f FROM t JOIN good g ON g.ref = t.ref AND g.lo <= t.hi AND t.lo <= g.hi GROUP BY note_id)
+SELECT note_id, CASE WHEN f IS NULL THEN 'NONE' WHEN abs(f - lo) = 0 THEN 'HIT' WHEN abs(f - lo) = 1 THEN 'NEAR' ELSE 'MISS' END AS score FROM t LEFT JOIN f USING (note_id)""",
         "additive_guard": with_(STORY, MIRROR) + ", v AS (SELECT a.id, CASE WHEN b.id IS NULL THEN 'lost' WHEN a.classification IS DISTINCT FROM b.classification THEN 'changed' END AS violation FROM story a LEFT JOIN mirror b ON a.id = b.id) SELECT * FROM v WHERE violation IS NOT NULL",
         "stratified_sample": "WITH k AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id::varchar), doc_id) AS k FROM documents WHERE source IS NOT NULL) SELECT source, k, doc_id FROM k WHERE k <= 5",
         "batches": "WITH n AS (SELECT DISTINCT corpus, note_id FROM boundary_notes) SELECT corpus, note_id, ((row_number() OVER (PARTITION BY corpus ORDER BY md5('3:' || note_id::varchar), note_id) - 1) // 20)::int AS batch FROM n",
