@@ -36,3 +36,11 @@ def test_which_decisions_match(spark, rows):
     g = lambda *cards: ("k", [(c,) for c in cards])
     df = spark.createDataFrame([("merge", ["a", "b"], [g("c", "d"), g("e", None)]), ("keep", ["x", "y"], None), (None, ["x", "z"], None), ("merge", None, [g("b", "f"), None])], SCHEMA)
     assert rows(components.group_ids(components.merge_matches(df), "members")) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("f", "a")]
+
+
+def test_heavy_hub_takes_the_broadcast_path(spark):
+    sets = [["hub", f"leaf{i:05d}"] for i in range(24_000)] + [[f"p{i:04d}", f"p{i + 1:04d}"] for i in range(0, 2000, 2)]
+    df = spark.createDataFrame([(s,) for s in sets], "members array<string>")
+    got = {r["card_id"]: r["group_id"] for r in components.group_ids(df, "members").collect()}
+    assert len(got) == 24_001 + 2000 and got["leaf23999"] == got["hub"] == "hub"
+    assert all(got[f"p{i:04d}"] == got[f"p{i + 1:04d}"] == f"p{i:04d}" for i in range(0, 2000, 2))
