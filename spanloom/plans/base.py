@@ -23,11 +23,12 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("ref", "seg_idx").agg(F.min("corpus").alias("corpus"), F.min("page_seq").alias("page_seq"), F.min("pos").alias("pos"), F.max("hebrew").alias("hebrew"), F.max("english").alias("english"))
 
 
-def stories(spark: SparkSession, d: str, table: str = "stories_main") -> DataFrame:
-    """Current versions of stories, as spans ``id, ref, lo, hi`` with their other columns."""
+def stories(spark: SparkSession, d: str, table: str = "stories_main", *more: str) -> DataFrame:
+    """Current versions of stories, as spans ``id, corpus, ref, page_seq, lo, hi`` and what else is asked for; only that is read."""
     from spanloom.operators.reconcile import latest_versions
 
-    df = latest_versions(read(spark, d, table), "story_id", "updated_at")
+    raw = read(spark, d, table).select("story_id", "corpus", "ref", "page_seq", "start_segment", "end_segment", "updated_at", *more)
+    df = latest_versions(raw, "story_id", "updated_at")
     return df.withColumnsRenamed({"story_id": "id", "start_segment": "lo", "end_segment": "hi"})
 
 

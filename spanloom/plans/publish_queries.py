@@ -12,8 +12,8 @@ from spanloom.runtime import read
 from spanloom.streaming import ledger
 
 
-def _good(spark: SparkSession, d: str, table: str = "stories_main") -> DataFrame:
-    return base.stories(spark, d, table).where("lo <= hi and ref is not null")
+def _good(spark: SparkSession, d: str, table: str = "stories_main", *more: str) -> DataFrame:
+    return base.stories(spark, d, table, *more).where("lo <= hi and ref is not null")
 
 
 def _replay(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -28,13 +28,13 @@ def permanent_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_fold(spark: SparkSession, d: str) -> DataFrame:
-    s = _good(spark, d).select("corpus", "page_seq", "id", "lo", "hi", F.col("continues_to_next_page").alias("to_next"), F.col("continues_from_previous_page").alias("from_prev"))
+    s = _good(spark, d, "stories_main", "continues_to_next_page", "continues_from_previous_page").select("corpus", "page_seq", "id", "lo", "hi", F.col("continues_to_next_page").alias("to_next"), F.col("continues_from_previous_page").alias("from_prev"))
     return publish.fold_pages(s, base.pages(spark, d))
 
 
 def corrected_spans(spark: SparkSession, d: str) -> DataFrame:
     """Stories after corrections that follow from their numbers: one trimmed, extended, reclassified or removed in each ten."""
-    s = _good(spark, d).select("id", "ref", "lo", "hi", "classification")
+    s = _good(spark, d, "stories_main", "classification").select("id", "ref", "lo", "hi", "classification")
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("int") % 10
     op = F.when(k == 1, "trim_end").when(k == 2, "extend_start").when(k == 3, "reclassify").when(k == 4, "remove")
     todo = s.select(F.lit(1).alias("seq"), "id", op.alias("op"), F.when(k == 3, "NOT_A_STORY").otherwise("1").alias("value")).where("op is not null")

@@ -85,7 +85,7 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
 
 def additive_guard(spark: SparkSession, d: str) -> DataFrame:
     """What forbids replacing one copy by the other: rows lost and judgements changed."""
-    a, b = (base.stories(spark, d, t).select("id", "classification") for t in ("stories_main", "stories_mirror"))
+    a, b = (base.stories(spark, d, t, "classification").select("id", "classification") for t in ("stories_main", "stories_mirror"))
     both = a.join(b.withColumnRenamed("classification", "new").withColumn("there", F.lit(True)), "id", "left")
     return both.select("id", F.when(F.col("there").isNull(), "lost").when(~F.col("classification").eqNullSafe(F.col("new")), "changed").alias("violation")).where("violation is not null")
 

@@ -61,7 +61,7 @@ def span_components(spark: SparkSession, d: str) -> DataFrame:
     """Stories of both copies that share cells, page-2 parts included: one component per chain of them."""
     parts = []
     for t in ("stories_main", "stories_mirror"):
-        s = base.stories(spark, d, t)
+        s = base.stories(spark, d, t, "next_ref", "start_segment_page2", "end_segment_page2")
         parts += [s.select("id", "ref", "lo", "hi"), s.select("id", F.col("next_ref").alias("ref"), F.col("start_segment_page2").alias("lo"), F.col("end_segment_page2").alias("hi"))]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("ref is not null and lo <= hi")
     return spans.cell_components(whole)
@@ -121,7 +121,7 @@ def boundary_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_diff(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (base.stories(spark, d, t) for t in ("stories_main", "stories_mirror"))
+    a, b = (base.stories(spark, d, t, "classification") for t in ("stories_main", "stories_mirror"))
     return spans.run_diff(a, b, "id", ["ref", "lo", "hi"], "classification")
 
 
