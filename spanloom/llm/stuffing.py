@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ PROSE_PAGES = 0.25
 PROSE_USUAL = 0.15
 #: Part of the usual share of prose words below which a page diverges: half prose, half list comes to a half.
 PROSE_LEAST = 0.48
+#: The same for pages that are cut up by separators as well.
+PROSE_LEAST_CUT_UP = 0.65
 #: Separators per word from which on a page diverges, for scripts without prose words; and separators that chance may add.
 SEPARATORS, CHANCE_SEPARATORS = 0.27, 1.5
 #: Share of the first three ranks of other words from which on a page is stuffed, if that head also lies so far, in natural
@@ -41,6 +44,7 @@ LINKS = re.compile(r"<a\s[^>]*>|\]\([^)\s]*\)|\b(?:https?://|www\.)[^\s<>\")]+|(
 MARKUP = re.compile(r"<[^<>]*>|&#?\w+;")
 #: A word with its marks and what follows it up to the next, or a link.
 TOKEN = re.compile(r"([^\W\d_][\w\u0300-\u036f\u0591-\u05c7\u064b-\u065f]*(?:[״׳'’\"\-][^\W\d_][\w\u0300-\u036f\u0591-\u05c7\u064b-\u065f]*)*)([^\w␟]*)|␟")
+MARKS = re.compile("[\u0300-\u036f\u0591-\u05c7\u064b-\u065f]+")
 PLAIN_WORD = re.compile(r"[a-z][a-z0-9_]*(?:['\"\-][a-z][a-z0-9_]*)*")
 PLAIN_START, LINE_END = re.compile(r"[^a-z]*"), re.compile(r"[^a-z0-9_]*\n[^a-z0-9_]*")
 SEPARATOR = re.compile(r"(?<![^\s\x00])-(?![^\s\x00])|[^\w\s.?!;\"'״׳’:()\[\]\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u200b-\u200f\u2060\ufeff\u00ad\x00\-]|;(?=\s|\x00|$)")
@@ -67,6 +71,8 @@ def page_words(text: str, with_separators: bool = True) -> tuple[dict[str, list[
     text = text.lower()
     if "/" in text or "<" in text or "&" in text:
         text = MARKUP.sub(" ", LINKS.sub(f" {LINK} ", text))
+    if not text.isascii():  # accents and points don't make another word
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
     if text.isascii():  # of one script and without links: words and tails need no sorting
         found = PLAIN_WORD.findall(text)
         if not found or not with_separators:
@@ -208,10 +214,11 @@ def length_class(n: Column) -> Column:
 def judge(curves: DataFrame) -> DataFrame:
     """``curves`` with ``why``: null for a part like prose, else 'list' or 'stuffed'; too short a part is judged neither way."""
     usual = usual_curves(curves)
-    worded = usual.groupBy("script").agg(F.max("m_prose").alias("most_prose"))
-    seen = curves.withColumn("length", length_class(F.col("n"))).join(F.broadcast(usual), ["script", "length"], "left").join(F.broadcast(worded), "script", "left")
-    thin = (F.col("most_prose") > PROSE_USUAL) & (F.col("prose") < PROSE_LEAST * F.col("m_prose"))
-    listed = (F.col("most_prose") <= PROSE_USUAL) & (F.col("separators") > SEPARATORS + CHANCE_SEPARATORS / F.col("n"))
+    most = usual.groupBy("script").agg(F.max("m_prose").alias("most_prose"))
+    seen = curves.withColumn("length", length_class(F.col("n"))).join(F.broadcast(usual), ["script", "length"], "left").join(F.broadcast(most), "script", "left")
+    worded, cut_up = F.col("most_prose") > PROSE_USUAL, F.col("separators") > SEPARATORS + CHANCE_SEPARATORS / F.col("n")
+    thin = worded & (F.col("prose") < PROSE_LEAST * F.col("m_prose"))
+    listed = cut_up & (~worded | (F.col("prose") < PROSE_LEAST_CUT_UP * F.col("m_prose")))
     residual = F.log(F.col("head")) - F.log(F.greatest("m_head", F.lit(0.001)))
     steep = (F.col("head") > HEAD) & (F.col("n") >= HEAD_WORDS) & (residual > HEAD_RESIDUAL)
     why = F.when(F.col("n") < LEAST_PART, F.lit(None)).when(steep, "stuffed").when(thin | listed, "list")
