@@ -45,3 +45,7 @@ def test_extra_and_clashing_columns(spark, rows):
     left = spark.createDataFrame([("k", 1, 2, "l")], "id string, a_0 int, b_key int, only_here string")
     right = spark.createDataFrame([("k", 1, 3)], "id string, a_0 int, b_key int")
     assert rows(reconcile.differences(left, right, "id", "l", "r")) == [("k", "b_key")]
+
+
+def test_null_keys_are_compared_like_values(spark, rows):
+    assert diff(spark, rows, [(None, 1, "x", 0.0, 1)], [(None, 1, "y", 0.0, 1)]) == [(None, "name")]
