@@ -60,6 +60,9 @@ COMPATIBLE_KINDS = ("<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>")
 #: Invisible beside those of category Cf: combining grapheme joiner, variation selectors, Hangul fillers, Mongolian separators.
 INVISIBLE = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10))
 
+#: Where characters of category Cf lie.
+FORMAT_BLOCKS = ((0x80, 0x2100), (0xFE00, 0x10000), (0x11000, 0x11100), (0x13430, 0x13440), (0x1BCA0, 0x1BCA4), (0x1D173, 0x1D17B), (0xE0000, 0xE0080))
+
 
 def _canonical(text: str) -> str:
     return unicodedata.normalize("NFD", text)
@@ -133,14 +136,11 @@ class Normalizer:
             return None
         if self.machine is None:
             self.machine = automaton(self.to)
-            self.blank = {c: " " for c in range(0x3001) if chr(c).isspace()}
-            self.drop = dict.fromkeys(INVISIBLE)
-        visible = text.translate(self.blank)
-        if not visible.isascii():
-            visible = visible.translate(self.drop)
-            if not visible.isprintable():
-                visible = "".join(c for c in visible if unicodedata.category(c) != "Cf")
-            visible = _canonical(visible)
+            formats = (c for lo, hi in FORMAT_BLOCKS for c in range(lo, hi) if unicodedata.category(chr(c)) == "Cf")
+            self.clean = {c: " " for c in range(0x3001) if chr(c).isspace()} | dict.fromkeys([*formats, *INVISIBLE])
+        visible = text
+        if not text.isascii():
+            visible = _canonical(text.translate(self.clean))
         visible = " ".join(visible.split())
         out, at = [], 0
         for start, p in greedy_matches(self.machine, visible):
