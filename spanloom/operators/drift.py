@@ -8,6 +8,7 @@ typed columns. The change report compares each file with the one before it in it
 from __future__ import annotations
 
 import itertools
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,16 +86,74 @@ def ingest(lines: DataFrame, raw: str, target: dict[str, str], renames: dict[str
     return df.select(*kept, *(c.alias(n) for n, c in typed.items()), rescued.alias("_rescued"))
 
 
-def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
-    """Replay rescued values of the approved fields (field -> type name) into columns; what still doesn't fit stays rescued."""
+def promote(table: DataFrame, approved: dict[str, str], names: str | None = None) -> DataFrame:
+    """Replay rescued values of the approved fields (field -> type name) into columns; what still doesn't fit stays rescued.
+
+    ``names`` is a column of maps from names used in the row's file to approved fields (see ``approved_names``); it is dropped.
+    A value under another name is placed only where the field has none under its own; of several the first that fits is.
+    """
     fields = F.from_json("_rescued", "map<string,variant>")
     df = table.withColumn("_map", fields)
     typed = {n: _cast(F.col("_map")[n], k) for n, k in approved.items()}
-    columns = [F.coalesce(F.col(n), c).alias(n) if n in table.columns and n != "_rescued" else c.alias(n) for n, c in typed.items()]
-    placed = F.array_compact(F.array(*(F.when(c.isNotNull(), F.lit(n)) for n, c in typed.items())))
+    has = lambda n: n in table.columns and n != "_rescued"
+    own = {n: F.coalesce(F.col(n), c) if has(n) else c for n, c in typed.items()}
+    placed = [F.when(c.isNotNull(), F.lit(n)) for n, c in typed.items()]
+    if names:
+        def renamed(n: str, kind: str) -> Column:
+            fits = F.filter(F.map_entries("_map"), lambda e: (F.col(names)[e["key"]] == n) & (e["key"] != n) & _cast(e["value"], kind).isNotNull())
+            return F.when(own[n].isNull() & F.col("_map")[n].isNull(), F.get(fits, F.lit(0)))
+
+        df = df.withColumns({f"_as_{n}": renamed(n, k) for n, k in approved.items()})
+        own = {n: F.coalesce(c, _cast(F.col(f"_as_{n}")["value"], approved[n])) for n, c in own.items()}
+        placed += [F.col(f"_as_{n}")["key"] for n in approved]
+    columns = [c.alias(n) for n, c in own.items()]
     rest = F.map_filter("_map", lambda k, v: ~F.array_contains(F.col("_placed"), k))
-    df = df.withColumn("_placed", placed)
-    return df.select(*(c for c in table.columns if c not in approved and c != "_rescued"), *columns, F.when(F.size(rest) > 0, F.to_json(rest)).alias("_rescued"))
+    df = df.withColumn("_placed", F.array_compact(F.array(*placed)))
+    return df.select(*(c for c in table.columns if c not in approved and c not in ("_rescued", names)), *columns, F.when(F.size(rest) > 0, F.to_json(rest)).alias("_rescued"))
+
+
+def approved_names(files: DataFrame, report: DataFrame, stream: str, file: str, target: list[str]) -> DataFrame:
+    """``(stream, file, names)``: for each file, the names in use there that the report's renames lead to a field of the target.
+
+    ``files`` has ``stream`` and ``file``; ``report`` is a ``change_report`` of them. A name is followed both ways through its
+    stream: from the target's name on, and back from it. A name that a stream says nothing of goes by what all other streams
+    agree on. Names that lead to two fields lead nowhere (``names`` has null for them): their values stay rescued. Streams are
+    folded file by file, one small row each.
+    """
+    steps = report.where("change_kind = 'renamed'").groupBy("file_seq").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "new_name"))).alias("renames"))
+    rows = files.where(F.col(stream).isNotNull() & F.col(file).isNotNull()).select(F.col(stream).alias("stream"), F.col(file).alias("file")).distinct()
+    rows = rows.join(steps.withColumnRenamed("file_seq", "file"), "file", "left").select("stream", "file", F.to_json("renames").alias("renames"))
+    kind = dict(files.dtypes)[file]
+    fields = set(target)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("file")
+        renames = [json.loads(r) if isinstance(r, str) else {} for r in rows.renames]
+        onward: list[dict[str, str]] = []
+        now: dict[str, str] = {}
+        for step in renames:
+            led = {new: old if old in fields else now.get(old) for old, new in step.items() if new not in fields}
+            now = now | {k: v for k, v in led.items() if v}
+            onward.append(now)
+        back: list[dict[str, str]] = []
+        now = {}
+        for step in reversed(renames):
+            back.append(now)
+            led = {old: new if new in fields else now.get(new) for old, new in step.items() if old not in fields}
+            now = now | {k: v for k, v in led.items() if v}
+        both = [json.dumps({k: f.get(k, b.get(k)) if f.get(k, b.get(k)) == b.get(k, f.get(k)) else None for k in {**f, **b}}) for f, b in zip(onward, reversed(back))]
+        return pd.DataFrame({"stream": rows.stream, "file": rows.file, "names": both})
+
+    from spanloom.runtime import materialize
+
+    names = F.from_json("names", "map<string,string>")
+    led = materialize(rows.groupBy("stream").applyInPandas(fold, f"stream string, file {kind}, names string").withColumn("names", names))
+    said = led.select(F.explode("names").alias("name", "field")).groupBy("name").agg(F.count_distinct("field").alias("n"), F.max("field").alias("field"), F.max(F.isnull("field")).alias("torn"))
+    agreed = {r["name"]: r["field"] for r in said.where("n = 1 and not torn").select("name", "field").collect()}  # names of fields only
+    if agreed:
+        general = F.create_map(*(F.lit(x) for kv in sorted(agreed.items()) for x in kv))
+        led = led.withColumn("names", F.map_concat("names", F.map_filter(general, lambda k, v: ~F.array_contains(F.map_keys("names"), k))))
+    return led.select(F.col("stream").alias(stream), F.col("file").alias(file), "names")
 
 
 # --- the change report ------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import drift, intervals, nested, reconcile
 from spanloom.runtime import materialize, read
 
-#: The fields of boundary answers that problem 7's table has, and the names under which files have been seen to give them.
+#: The fields of boundary answers that problem 7's table has; the names under which files give them come from the change report.
 ANSWER_TARGET = {"item": "string", "code": "string", "action": "string", "first": "integer", "last": "integer", "segments": "list of integers", "verdict": "string", "rules": "list of strings", "reason": "string"}
 
 
@@ -36,9 +36,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
-    """All lines under the target schema, with whatever doesn't fit it in ``_rescued``; lines delivered twice once."""
+    """All lines under the target schema, values of renamed fields replayed into the fields that the change report leads them to,
+    with whatever doesn't fit in ``_rescued``; lines delivered twice once."""
     lines = read(spark, d, "answer_lines").select("stream_name", "file_seq", "line_no", "raw").dropDuplicates(["stream_name", "file_seq", "line_no", "raw"])
-    return drift.ingest(lines, "raw", ANSWER_TARGET)
+    names = drift.approved_names(lines, drift.change_report(lines, "stream_name", "file_seq", "raw"), "stream_name", "file_seq", list(ANSWER_TARGET))
+    table = drift.ingest(lines, "raw", ANSWER_TARGET).join(names, ["stream_name", "file_seq"], "left")
+    return drift.promote(table, ANSWER_TARGET, "names")
 
 
 def queries() -> dict:

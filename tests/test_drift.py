@@ -62,3 +62,18 @@ def test_ingest_rescues_and_promotes(spark):
     assert json.loads(got[3]["_rescued"]) == {"_line": "broken"} and got[4]["_rescued"] is None
     more = {r["n"]: r for r in drift.promote(table, {"tag": "string"}).collect()}
     assert more[0]["tag"] == "t" and more[0]["_rescued"] is None and json.loads(more[1]["_rescued"]) == {"x": "no"}
+
+
+def test_renamed_values_are_replayed_into_typed_columns(spark):
+    own, other = lines(25, 2, first="begin", last="stop"), lines(25, 4)
+    data = [(s, f, json.dumps(o)) for s, f, part in (("s", 1, lines(25, 1)), ("s", 2, own), ("s", 3, lines(25, 3)), ("t", 4, lines(25, 5, first="begin", last="stop")), ("t", 5, other), ("u", 6, lines(25, 6, first="begin"))) for o in part]
+    df = spark.createDataFrame([*data, ("s", 2, "broken"), ("s", 2, '{"begin": 7, "first": 3}'), ("s", 2, '{"begin": "none"}'), (None, 9, '{"begin": 1}')], "stream_name string, file_seq bigint, raw string")
+    target = {"first": "integer", "last": "integer"}
+    names = drift.approved_names(df, drift.change_report(df, "stream_name", "file_seq", "raw"), "stream_name", "file_seq", list(target))
+    got = drift.promote(drift.ingest(df, "raw", target).join(names, ["stream_name", "file_seq"], "left"), target, "names").collect()
+    assert "names" not in got[0].asDict() and len(got) == df.count()
+    at = lambda f: sorted((r["first"], r["last"]) for r in got if r["file_seq"] == f and r["last"] is not None)
+    assert at(2) == sorted((o["begin"], o["stop"]) for o in own) and len(at(4)) == 25 and at(5) == sorted((o["first"], o["last"]) for o in other)
+    assert len([r for r in got if r["file_seq"] == 6 and r["first"] is not None]) == 25
+    kept = [json.loads(r["_rescued"]) for r in got if r["_rescued"] and "ms" not in r["_rescued"]]
+    assert sorted(map(json.dumps, kept)) == sorted(map(json.dumps, [{"_line": "broken"}, {"begin": 7}, {"begin": "none"}, {"begin": 1}]))
