@@ -35,6 +35,8 @@ SEPARATORS, CHANCE_SEPARATORS = 0.27, 1.5
 #: Share of the first three ranks of other words from which on a page is stuffed, if that head also lies so far, in natural
 #: logarithms, above the usual curve of its length; and the words below which such a share may be chance.
 HEAD, HEAD_RESIDUAL, HEAD_WORDS = 0.36, 1.0, 20
+#: Different pages that a length needs for a usual curve of its own.
+POOL = 30
 #: Words that a script's part of a page needs to be judged, and that a page needs in all; words that a link stands for.
 LEAST_PART, LEAST_PAGE, LINK_WORDS = 8, 12, 3
 
@@ -129,9 +131,9 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prose_words(docs: DataFrame, text: str) -> dict[str, set[str]]:
-    """The words that at least ``PROSE_PAGES`` of a script's pages have. For each script they are at most as many as a page has
-    different words on average, over ``PROSE_PAGES``: hundreds, however large the corpus."""
-    counted = docs.select(text).mapInArrow(_count_pages, "script string, word string, n bigint").groupBy("script", "word").agg(F.sum("n").alias("n"))
+    """The words that at least ``PROSE_PAGES`` of a script's different pages have, so that copies don't count. For each script they
+    are at most as many as a page has different words on average, over ``PROSE_PAGES``: hundreds, however large the corpus."""
+    counted = docs.select(text).distinct().mapInArrow(_count_pages, "script string, word string, n bigint").groupBy("script", "word").agg(F.sum("n").alias("n"))
     whole = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("script"))
     common = counted.where(F.col("script") != "link").withColumn("pages", whole).where((F.col("n") >= PROSE_PAGES * F.col("pages")) & (F.col("word") != ""))
     out: dict[str, set[str]] = {}
@@ -202,9 +204,30 @@ def page_curves(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def usual_curves(curves: DataFrame) -> DataFrame:
-    """Medians per script and length (in powers of two): the usual curve; one small row each."""
-    long = curves.where(F.col("n") >= LEAST_PART).withColumn("length", length_class(F.col("n")))
-    return long.groupBy("script", "length").agg(*(F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in ("prose", "head", "slope", "residual")))
+    """Medians per script and length (in powers of two) of different pages: the usual curve; one small row each.
+
+    A length with fewer than ``POOL`` different pages takes in those of the lengths around it, as far as it must. Then each
+    median gives way to the median of its neighbours' and its own, at the ends to that of its own, the next and the line through
+    the next two: what falls or rises steadily stays as it is, and one length that is mostly junk can't set the norm.
+    """
+    long = curves.where(F.col("n") >= LEAST_PART).withColumn("length", length_class(F.col("n"))).drop("page").dropDuplicates(["script", "copy"])
+    sizes = long.groupBy("script", "length").agg(F.count("*").alias("k"))
+    around = sizes.alias("a").join(sizes.alias("b"), "script").select("script", F.col("a.length").alias("of"), F.col("b.length").alias("length"), F.col("b.k").alias("k"), F.abs(F.col("a.length") - F.col("b.length")).alias("far"))
+    nearer = Window.partitionBy("script", "of").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+    pools = around.withColumn("held", F.coalesce(F.sum("k").over(nearer), F.lit(0))).where(F.col("held") < POOL).select("script", "of", "length")
+    names = ("prose", "head", "slope", "residual")
+    medians = long.join(F.broadcast(pools), ["script", "length"]).groupBy("script", F.col("of").alias("length")).agg(*(F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in names))
+    by_length = Window.partitionBy("script").orderBy("length")
+
+    def smooth(c: str) -> Column:
+        before, own, after = F.lag(c).over(by_length), F.col(c), F.lead(c).over(by_length)
+        end = lambda near, far: F.greatest(F.lit(0.0), 3 * near - 2 * far)
+        first = F.array(own, after, end(after, F.lead(c, 2).over(by_length)))
+        last = F.array(own, before, end(before, F.lag(c, 2).over(by_length)))
+        three = F.when(before.isNotNull() & after.isNotNull(), F.array(before, own, after)).when(before.isNull(), first).otherwise(last)
+        return F.when(F.exists(three, F.isnull), own).otherwise(F.array_sort(three)[1])
+
+    return medians.select("script", "length", *(smooth(f"m_{c}").alias(f"m_{c}") for c in names))
 
 
 def length_class(n: Column) -> Column:

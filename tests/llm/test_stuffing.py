@@ -35,3 +35,18 @@ def test_junk_is_found_and_honest_pages_are_not(spark):
 
 def test_empty(spark):
     assert stuffing.junk_pages(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_copies_of_one_junk_page_set_no_norm(spark):
+    honest, hebrew, junk = corpus()
+    for name in ("stuffed", "hebrew list"):
+        texts = honest + hebrew + [junk[name]] * ((len(honest) + len(hebrew)) // 2)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        assert {r["page"] for r in stuffing.junk_pages(df).collect()} == set(range(len(honest) + len(hebrew), len(texts))), name
+
+
+def test_a_length_of_junk_sets_no_norm(spark):
+    honest, _, _ = corpus()
+    junk = ["best {0} for the {0} and {0} is {0}. ".format(w) * 200 for w in NOUNS[:40]]  # longer than any honest page
+    df = spark.createDataFrame(list(enumerate(honest + junk)), "doc_id bigint, text string")
+    assert {r["page"] for r in stuffing.junk_pages(df).collect()} == set(range(len(honest), len(honest) + len(junk)))
