@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.runtime import materialize
+from spanloom.runtime import materialize, store
 
 
 def words(c: Column) -> Column:
@@ -32,7 +32,8 @@ def locate(queries: DataFrame, corpus: DataFrame, n: int = 6, gap: int = 5) -> D
     ``queries`` has ``id, group, text``; ``corpus`` has ``group, pos, text``, one row per segment in order of ``pos``. Anchors are
     runs of ``n`` words that a group's corpus has in just one segment; a query's anchors are cut into runs wherever they lie
     more than ``gap`` segments apart, and the run with the most anchors counts (ties: the earliest). Queries without anchors
-    don't come. Both sides meet by hashed shingles; repeated rows change nothing.
+    don't come. Both sides meet by hashed shingles; repeated rows change nothing. Runs over the end of a segment aren't seen:
+    ``locate_exact`` takes the running text.
     """
     spelt = corpus.where("pos is not null").select("group", "pos", words(F.col("text")).alias("w"))
     where = spelt.select("group", "pos", F.explode(F.array_distinct(shingles(F.col("w"), n))).alias("s")).select("group", "pos", F.xxhash64("s").alias("h"), "s").distinct()
@@ -46,6 +47,70 @@ def locate(queries: DataFrame, corpus: DataFrame, n: int = 6, gap: int = 5) -> D
     return best.select("id", "group", "b.first_pos", "b.last_pos", "b.anchors")
 
 
+def _run_key(s: Column) -> Column:
+    """A hash of a group's run of words, wide enough to stand for it."""
+    return F.struct(F.xxhash64("group", s).alias("a"), F.hash("group", F.reverse(s)).alias("b"))
+
+
+def running_shingles(corpus: DataFrame, n: int) -> DataFrame:
+    """``(h, p, pos, end_pos)``: each run of ``n`` words of each group's running text, over the ends of segments too.
+
+    ``h`` is the key of group and run, ``p`` the place of its first word in the running text, ``pos`` and ``end_pos`` the segments of
+    its first and last word. Only the lengths and first words of segments are brought into order, not their texts; different
+    texts of one segment follow one another.
+    """
+    whole = corpus.where("pos is not null and text is not null").groupBy("group", "pos").agg(F.concat_ws(" ", F.array_sort(F.collect_set("text"))).alias("text"))
+    spelt = whole.select("group", "pos", words(F.col("text")).alias("w")).where("size(w) > 0")
+    in_order = Window.partitionBy("group").orderBy("pos")
+    brief = spelt.select("group", "pos", F.size("w").cast("bigint").alias("k"), F.array_join(F.slice("w", 1, n - 1), " ").alias("head"))
+    brief = brief.withColumn("start", F.sum("k").over(in_order) - F.col("k")).withColumn("next", F.collect_list(F.struct("head", "pos")).over(in_order.rowsBetween(1, n - 1))).drop("head")
+    spread = F.flatten(F.transform("next", lambda x: F.transform(F.split(x["head"], " "), lambda w: F.struct(w.alias("w"), x["pos"].alias("pos")))))
+    full = spelt.join(brief, ["group", "pos"]).withColumn("next", F.slice(spread, 1, n - 1))
+    full = full.select("group", "pos", "start", "k", "next", F.concat("w", F.transform("next", lambda x: x["w"])).alias("w"))
+    runs = full.select("group", "pos", "start", "k", "next", F.posexplode(shingles(F.col("w"), n)).alias("i", "s"))
+    over = (F.col("i") + n - 1 - F.col("k")).cast("int")
+    return runs.select(_run_key(F.col("s")).alias("h"), (F.col("start") + F.col("i")).alias("p"), "pos", F.when(over < 0, F.col("pos")).otherwise(F.get("next", over)["pos"]).alias("end_pos"))
+
+
+def locate_exact(queries: DataFrame, corpus: DataFrame, n: int = 6, gap: int = 500, slack_floor: int = 25, slack_part: float = 0.25) -> DataFrame:
+    """``(id, group, first_pos, last_pos, anchors, coverage)``: where in its group's running text each query stands, by exact runs.
+
+    Inputs are those of ``locate``. Anchors are runs of ``n`` words that occur once in the running text. In the query's order they are
+    cut wherever the text jumps on by more than ``gap`` words, and the largest part counts (ties: the first); then once more in
+    the text's order. The upper median of text place less query place says where the query lies; every run of the query, unique or
+    not, that stands within max(``slack_floor``, ``slack_part`` of the query's words) of where it should is placed and
+    widens the extent. ``coverage`` is the share of placed runs. Queries without anchors don't come.
+    """
+    asked = queries.where("id is not null and text is not null").groupBy("id", "group").agg(F.min("text").alias("text")).select("id", "group", words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    asked = asked.select("id", "group", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), n)).alias("i", "s"))
+    asked = store(asked.select("id", "group", "size", "i", _run_key(F.col("s")).alias("h")))
+    known = store(running_shingles(corpus, n).join(asked.select("h").distinct(), "h", "left_semi"))
+    unique = known.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("p", "pos", "end_pos")).alias("at")).where("k = 1").select("h", "at")
+
+    def largest(anchors: DataFrame, *order: str) -> DataFrame:
+        by = Window.partitionBy("id", "group").orderBy(*order)
+        cut = anchors.withColumn("_new", F.coalesce((F.col("at.p") - F.lag("at.p").over(by) > gap).cast("int"), F.lit(0))).withColumn("_run", F.sum("_new").over(by))
+        sized = cut.withColumn("anchors", F.count("*").over(Window.partitionBy("id", "group", "_run")))
+        top = F.max(F.struct("anchors", -F.col("_run"))).over(Window.partitionBy("id", "group"))
+        return sized.withColumn("_top", top).where(F.struct("anchors", -F.col("_run")) == F.col("_top")).drop("_new", "_run", "_top")
+
+    cluster = largest(largest(asked.join(unique, "h").select("id", "group", "size", "i", "at"), "i").drop("anchors"), "at.p", "i")
+    offsets = F.array_sort(F.collect_list(F.col("at.p") - F.col("i")))
+    found = cluster.groupBy("id", "group", "size").agg(F.max("anchors").alias("anchors"), F.min("at").alias("first"), offsets.alias("o"))
+    slack = F.greatest(F.lit(slack_floor), F.floor(slack_part * F.col("size")))
+    found = materialize(found.select("id", "group", "size", "anchors", "first", F.get("o", (F.size("o") / 2).cast("int")).alias("offset"), slack.cast("bigint").alias("slack")))
+    # runs meet by where they should stand, too, so that a formula isn't paired with all its places
+    wide = 256
+    due = asked.select("id", "group", "i", "h").join(found.select("id", "group", "offset", "slack"), ["id", "group"]).withColumn("due", F.col("i") + F.col("offset"))
+    due = due.withColumn("part", F.explode(F.sequence(F.floor((F.col("due") - F.col("slack")) / wide), F.floor((F.col("due") + F.col("slack")) / wide))))
+    near = due.join(known.withColumn("part", F.floor(F.col("p") / wide)), ["h", "part"]).where(F.abs(F.col("p") - F.col("due")) <= F.col("slack"))
+    placed = near.groupBy("id", "group").agg(F.count_distinct("i").alias("placed"), F.min(F.struct("p", "pos")).alias("lo"), F.max(F.struct("p", "end_pos")).alias("hi"))
+    both = found.join(placed, ["id", "group"], "left")
+    lo = F.least(F.struct(F.col("first.p").alias("p"), F.col("first.pos").alias("pos")), "lo")
+    hi = F.greatest(F.struct(F.col("first.p").alias("p"), F.col("first.end_pos").alias("end_pos")), "hi")
+    return both.select("id", "group", lo["pos"].alias("first_pos"), hi["end_pos"].alias("last_pos"), "anchors", F.round(F.coalesce("placed", F.lit(0)) / (F.col("size") - n + 1), 6).alias("coverage"))
+
+
 def shared_passages(docs: DataFrame, n: int = 5, common: int = 4, least: int = 8, share: float = 0.3) -> DataFrame:
     """``(a, b, shared, overlap)``: pairs of different texts that share passages, a < b by class id.
 

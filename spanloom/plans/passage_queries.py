@@ -22,6 +22,13 @@ def passage_locate(spark: SparkSession, d: str) -> DataFrame:
     return passages.locate(asked, text).select(F.col("id").alias("entry_id"), "first_pos", "last_pos", "anchors")
 
 
+def passage_locate_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Where in the running text of its corpus each expert text stands, by six-word runs that occur there once, and its extent."""
+    asked = _listed(spark, d).select(F.col("entry_id").alias("id"), F.col("corpus").alias("group"), F.col("expert_text").alias("text"))
+    text = base.segments(spark, d).select(F.col("corpus").alias("group"), "pos", F.col("english").alias("text"))
+    return passages.locate_exact(asked, text).select(F.col("id").alias("entry_id"), "first_pos", "last_pos", "anchors", "coverage")
+
+
 def passage_containment(spark: SparkSession, d: str) -> DataFrame:
     """How much of each expert text its page's segments hold, segment by segment, where any."""
     seg = base.segments(spark, d).select("ref", "seg_idx", passages.words(F.col("english")).alias("own"))
@@ -58,7 +65,7 @@ def passage_align(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (passage_locate, passage_fuzzy, passage_align, passage_containment, shared_passages, text_classes)}
+    return {f.__name__: f for f in (passage_locate, passage_locate_exact, passage_fuzzy, passage_align, passage_containment, shared_passages, text_classes)}
 
 
 def _words(c: str) -> str:

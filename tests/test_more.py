@@ -56,3 +56,45 @@ def test_edges(spark, rows):
     t = spark.createDataFrame([("a", "p", 3, 5), ("b", "p", 9, 9), ("c", "q", 0, 0)], "id string, ref string, lo int, hi int")
     f = spark.createDataFrame([("p", 2, 4), ("p", 5, 9)], "ref string, lo int, hi int")
     assert rows(scoring.edge_scores(t, f, "id"), "id", "score") == [("a", "NEAR"), ("b", "MISS"), ("c", "NONE")]
+
+
+def _locate_one(query, segments, n=6):
+    """The exact locator for one query, word by word: what ``locate_exact`` must equal. ``segments`` has one text per place."""
+    tokens, owner = [w for s in segments for w in s.split()], [i for i, s in enumerate(segments) for _ in s.split()]
+    at = {}
+    for i in range(len(tokens) - n + 1):
+        at.setdefault(tuple(tokens[i : i + n]), []).append(i)
+    ws = query.split()
+    hits = [at.get(tuple(ws[i : i + n]), []) for i in range(len(ws) - n + 1)]
+    cluster = [(i, h[0]) for i, h in enumerate(hits) if len(h) == 1]
+    for by in (0, 1):
+        runs = []
+        for a in sorted(cluster, key=lambda a: a[by]):
+            if runs and a[1] - runs[-1][-1][1] <= 500:
+                runs[-1].append(a)
+            else:
+                runs.append([a])
+        cluster = max(runs, key=len, default=[])
+    if not cluster:
+        return None
+    offset, slack = sorted(p - i for i, p in cluster)[len(cluster) // 2], max(25, len(ws) // 4)
+    near = [[p for p in h if abs(p - i - offset) <= slack] for i, h in enumerate(hits)]
+    spots = [p for h in near for p in h] + [cluster[0][1]]
+    return owner[min(spots)], owner[max(spots) + n - 1], len(cluster), round(sum(map(bool, near)) / len(hits), 6)
+
+
+def test_exact_location_takes_the_running_text(spark):
+    rng = random.Random(3)
+    formula = "and so it was told to them all at the gate".split()
+    segments = [" ".join(rng.choice(formula) if rng.random() < 0.5 else f"w{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 2, 3, 5, 9]))) for _ in range(400)]
+    segments[50:52] = ["one two three", "four five six"]  # only runs over the break are there
+    segments[100:103] = [" ".join(formula), "here stands a lone mark of its own", " ".join(formula)]
+    segments[200] = " ".join(formula)
+    asked = {"break": "one two three four five six", "extent": " ".join(segments[100:103]), "common": " ".join(formula), "short": "one two", "far": " ".join(segments[20:30] + segments[300:306])}
+    asked |= {f"r{k}": " ".join(segments[k : k + rng.randint(2, 40)][: rng.randint(5, 40)]) for k in range(0, 360, 9)}
+    corpus = spark.createDataFrame([("g", i, s) for i, s in enumerate(segments)] + [("other", 1, segments[50] + " " + segments[51])], "`group` string, pos int, text string")
+    queries = spark.createDataFrame([(k, "g", v) for k, v in asked.items()] * 2, "id string, `group` string, text string")
+    got = {r["id"]: (r["first_pos"], r["last_pos"], r["anchors"], r["coverage"]) for r in passages.locate_exact(queries, corpus).collect()}
+    assert got["break"] == (50, 51, 1, 1.0) and got["extent"][:2] == (100, 102) and "common" not in got
+    assert got == {k: x for k, v in asked.items() if (x := _locate_one(v, segments))}
+    assert "break" not in {r["id"] for r in passages.locate(queries, corpus).collect()}
