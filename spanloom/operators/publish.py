@@ -45,6 +45,7 @@ def fold_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
     is flagged to run over it and the earlier ends on its page's last segment or the later begins on segment 0. A story that
     is merged is gone from its page, which may change the next break: the fold is sequential within a corpus by definition;
     only what it needs of each page, its first, its last and their flags, is brought together, in one sorted stream.
+    This is a loose rule by flags alone; ``fold_stories`` has the reference's cases.
     """
     df = stories.join(pages.select("corpus", "page_seq", "last"), ["corpus", "page_seq"]).where("lo <= hi")
     df = df.select("corpus", "page_seq", "id", "lo", "hi", "last", F.coalesce("to_next", F.lit(False)).alias("to_next"), F.coalesce("from_prev", F.lit(False)).alias("from_prev"))
@@ -78,6 +79,102 @@ def fold_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
     return df.repartition("corpus").sortWithinPartitions("corpus", "page_seq", "lo", "hi", "id").mapInArrow(run, "id string, merged_into string")
 
 
+def fold_stories(stories: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(id, merged_into, how, classification, lo2, hi2)``: stories merged over page breaks, by labels and then by flags alone.
+
+    ``stories`` has ``corpus, page_seq, id, no`` (place on the page), ``lo, hi, classification, to_next, from_prev``; ``pages`` has
+    ``corpus, page_seq, last, event_at_start`` (segment 0 or 1 tells an event) and ``event_at_end`` (the last one does). On each break
+    the story that reaches furthest down the earlier page, a, meets the one nearest the top of the later page, b. Where both pages
+    tell events at the break, the first of these cases that holds merges b into a, a reaching the last but one segment at least:
+
+    1. a is no story, b is one and begins on segment 0 or 1: a takes b's classification;
+    2. a is a story, b none that begins on 0 or 1;
+    3. neither is one, b begins on 0 or 1: a becomes LOW_CONFIDENCE;
+    4. both are, b begins on 0, either is flagged to run over: the higher classification;
+    5. both are, b begins on 1, a reaches the last segment, both are flagged: the same, and b's part begins on 0.
+
+    After that, all breaks again in order ('flags'): a story a that isn't merged yet and ends on the last segment takes in b on 0 if
+    either is flagged and neither is classified as no story. A merged b is gone from its page, which may change the next break.
+    ``how`` names the case, ``classification`` is a's after it, and ``lo2, hi2`` are a's segments on the later page. The second pass follows
+    the first one page behind in one sorted stream, so three pages are held at a time.
+    """
+    df = stories.join(pages.select("corpus", "page_seq", "last", "event_at_start", "event_at_end"), ["corpus", "page_seq"])
+    df = df.select("corpus", "page_seq", "id", F.coalesce("no", F.lit(2**31 - 1)).alias("no"), "lo", "hi", "classification", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("to_next", "from_prev", "event_at_start", "event_at_end")), "last")
+    ranks = {"NOT_A_STORY": 1, "LOW_CONFIDENCE": 2, "HIGH_CONFIDENCE": 3, "YES": 4}
+    names, kinds = ["id", "merged_into", "how", "classification", "lo2", "hi2"], [pa.string()] * 4 + [pa.int32()] * 2
+
+    def meet(before: list[dict], page: list[dict]) -> tuple[dict, dict] | None:
+        if not before or not page or before[0]["corpus"] != page[0]["corpus"] or before[0]["page_seq"] + 1 != page[0]["page_seq"]:
+            return None
+        ends, starts = [r for r in before if r["hi"] is not None], [r for r in page if r["lo"] is not None]
+        return (min(ends, key=lambda r: (-r["hi"], r["no"], r["id"])), min(starts, key=lambda r: (r["lo"], r["no"], r["id"]))) if ends and starts else None
+
+    def higher(a: str | None, b: str | None) -> str | None:
+        return a if ranks.get(a, 0) >= ranks.get(b, 0) else b
+
+    def merge(page: list[dict], a: dict, b: dict, how: str, classification: str | None, lo2: int) -> tuple:
+        a.update(classification=classification, merged=True)
+        page[:] = [r for r in page if r is not b]
+        return b["id"], a["id"], how, classification, lo2, b["hi"]
+
+    def by_labels(before: list[dict], page: list[dict], out: list[tuple]) -> None:
+        if not (pair := meet(before, page)):
+            return
+        a, b = pair
+        if not (a["event_at_end"] and b["event_at_start"] and a["hi"] >= a["last"] - 1 and b["lo"] <= 1):
+            return
+        x, y, none = a["classification"], b["classification"], "NOT_A_STORY"
+        real = [c not in (none, None) for c in (x, y)]
+        if x == none and real[1]:
+            out.append(merge(page, a, b, "1", y, b["lo"]))
+        elif real[0] and y == none:
+            out.append(merge(page, a, b, "2", x, b["lo"]))
+        elif x == none and y == none:
+            out.append(merge(page, a, b, "3", "LOW_CONFIDENCE", b["lo"]))
+        elif all(real) and b["lo"] == 0 and (a["to_next"] or b["from_prev"]):
+            out.append(merge(page, a, b, "4", higher(x, y), 0))
+        elif all(real) and b["lo"] == 1 and a["hi"] >= a["last"] and a["to_next"] and b["from_prev"]:
+            out.append(merge(page, a, b, "5", higher(x, y), 0))
+
+    def by_flags(before: list[dict], page: list[dict], out: list[tuple]) -> None:
+        if not (pair := meet(before, page)):
+            return
+        a, b = pair
+        if not a.get("merged") and a["hi"] == a["last"] and (a["to_next"] or b["from_prev"]) and "NOT_A_STORY" not in (a["classification"], b["classification"]) and b["lo"] < 1:
+            out.append(merge(page, a, b, "flags", higher(a["classification"], b["classification"]), b["lo"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[dict] = []
+        second: list[dict] = []
+        page: list[dict] = []
+
+        def closed(out: list[tuple]) -> None:
+            """``page`` is whole: the first pass takes the break before it, the second the one before that."""
+            nonlocal first, second, page
+            by_labels(second, page, out)
+            by_flags(first, second, out)
+            first, second, page = second, page, []
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=k) for i, k in enumerate(kinds)], names)
+
+        at = None
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if at not in (None, (r["corpus"], r["page_seq"])):
+                    closed(out)
+                at = (r["corpus"], r["page_seq"])
+                page.append(r)
+            yield rows(out)
+        out = []
+        closed(out)
+        by_flags(first, second, out)
+        yield rows(out)
+
+    return df.repartition("corpus").sortWithinPartitions("corpus", "page_seq").mapInArrow(run, "id string, merged_into string, how string, classification string, lo2 int, hi2 int")
+
+
 def apply_corrections(spans: DataFrame, corrections: DataFrame) -> DataFrame:
     """``spans`` (``id, ref, lo, hi, classification``) after corrections (``seq, id, op, value``), in order of ``seq``.
 

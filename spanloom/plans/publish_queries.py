@@ -28,8 +28,12 @@ def permanent_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_fold(spark: SparkSession, d: str) -> DataFrame:
-    s = _good(spark, d, "stories_main", "continues_to_next_page", "continues_from_previous_page").select("corpus", "page_seq", "id", "lo", "hi", F.col("continues_to_next_page").alias("to_next"), F.col("continues_from_previous_page").alias("from_prev"))
-    return publish.fold_pages(s, base.pages(spark, d))
+    """Stories merged over page breaks: by labels and classification (W16), then by flags (W17)."""
+    kind = F.regexp_replace(F.upper(F.trim("classification")), r"\s+", "_")
+    s = _good(spark, d, "stories_main", "span_no", "classification", "continues_to_next_page", "continues_from_previous_page").select("corpus", "page_seq", "id", F.col("span_no").alias("no"), "lo", "hi", kind.alias("classification"), F.col("continues_to_next_page").alias("to_next"), F.col("continues_from_previous_page").alias("from_prev"))
+    seg = base.segments(spark, d).select("ref", "corpus", "page_seq", "seg_idx", (base.label(F.col("english")) == "NARRATIVE_EVENT").alias("event"))
+    pages = seg.groupBy("ref").agg(F.min("corpus").alias("corpus"), F.min("page_seq").alias("page_seq"), F.max("seg_idx").alias("last"), F.coalesce(F.bool_or(F.col("event") & (F.col("seg_idx") <= 1)), F.lit(False)).alias("event_at_start"), F.max_by("event", "seg_idx").alias("event_at_end"))
+    return publish.fold_stories(s, pages)
 
 
 def corrected_spans(spark: SparkSession, d: str) -> DataFrame:

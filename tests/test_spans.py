@@ -92,3 +92,26 @@ def test_decision_table_stops_at_unsure(spark, rows):
     df = spark.createDataFrame([("1", "yes", "no"), ("2", "unsure", "yes"), ("3", "no", "yes"), ("4", "no", "no")], "id string, a string, b string")
     rules = [("first", {"a": "yes"}), ("second", {"b": "yes"})]
     assert rows(df.select("id", scoring.decide(df, rules, "none").alias("v"))) == [("1", "first"), ("2", "unsure"), ("3", "second"), ("4", "none")]
+
+
+def test_story_fold_cases_in_order(spark, rows):
+    none, low, high = "NOT_A_STORY", "LOW_CONFIDENCE", "HIGH_CONFIDENCE"
+    #       the earlier page's last story, the later page's first one: (lo, hi, classification, to_next, from_prev); labels at the break
+    cases = {
+        "1": ((5, 8, none, False, False), (1, 3, high, False, False), True), "2": ((5, 9, high, False, False), (1, 2, none, False, False), True),
+        "3": ((9, 9, none, False, False), (0, 2, none, False, False), True), "4": ((5, 8, low, True, False), (0, 2, high, False, False), True),
+        "5": ((5, 9, low, True, False), (1, 2, low, False, True), True), "flags": ((5, 9, low, False, False), (0, 2, high, False, True), False),
+        "mid-page": ((5, 6, low, True, False), (0, 2, low, False, True), True), "unflagged": ((5, 9, low, False, False), (0, 2, low, False, False), True),
+        "one flag": ((5, 9, low, True, False), (1, 2, low, False, False), True), "no story": ((5, 9, none, True, False), (0, 2, low, False, True), False),
+    }
+    stories = [(k, i, f"{k}{i}", 0, *x) for k, (a, b, _) in cases.items() for i, x in enumerate((a, b))]
+    pages = [(k, i, 9, v[2], v[2]) for k, v in cases.items() for i in (0, 1)]
+    # b joins a by labels and leaves c first on its page no more: c, alone then, can't be reached; e is promoted before the flags are asked
+    stories += [("chain", 0, "a", 0, 5, 9, low, True, False), ("chain", 1, "b", 0, 0, 9, low, True, False), ("chain", 2, "c", 0, 0, 3, low, False, True)]
+    stories += [("late", 0, "d", 0, 5, 9, high, True, False), ("late", 1, "e", 0, 0, 9, none, False, False), ("late", 2, "f", 0, 0, 3, low, False, False)]
+    pages += [("chain", i, 9, True, True) for i in range(3)] + [("late", 0, 9, True, False), ("late", 1, 9, True, True), ("late", 2, 9, True, True)]
+    s = spark.createDataFrame(stories, "corpus string, page_seq int, id string, no int, lo int, hi int, classification string, to_next boolean, from_prev boolean")
+    p = spark.createDataFrame(pages, "corpus string, page_seq int, last int, event_at_start boolean, event_at_end boolean")
+    want = [("11", "10", "1", high, 1, 3), ("21", "20", "2", high, 1, 2), ("31", "30", "3", low, 0, 2), ("41", "40", "4", high, 0, 2), ("51", "50", "5", low, 0, 2)]
+    want += [("flags1", "flags0", "flags", high, 0, 2), ("b", "a", "4", low, 0, 9), ("f", "e", "1", low, 0, 3), ("e", "d", "flags", high, 0, 9)]
+    assert rows(publish.fold_stories(s, p)) == sorted(want)
