@@ -8,7 +8,9 @@ walk, are linked by interval containment and need no keys of their parents insid
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from json.decoder import WHITESPACE, scanstring
 from typing import Any
 
 import pyarrow as pa
@@ -24,6 +26,10 @@ RUN_RECORD: Shape = {"record": {"page": ("pages",)}, "page": {"segment": ("segme
 #: Keys by which an object is known to be one node of a type, not a container that maps names or numbers to nodes.
 RUN_RECORD_MARKS = {"page": {"ref", "segments", "stories"}, "segment": {"index", "english", "hebrew"}, "story": {"start_segment", "end_segment", "classification", "criteria", "weakeners_found", "one_sentence_summary", "continuation"}, "event": {"text", "order"}, "weakener": {"text", "order"}}
 
+#: Levels down to which a value that nests too deep for the parser is taken apart at once.
+DEEP = 500
+SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+
 
 class _Object(dict):
     """A JSON object that keeps repeated keys, in their order, in ``pairs``."""
@@ -38,12 +44,78 @@ def _object(pairs: list[tuple[str, Any]]) -> _Object:
 
 
 def parse(text: str) -> Any:
-    """The JSON value of ``text``; raises ValueError when it isn't valid JSON (NaN and Infinity are not)."""
+    """The JSON value of ``text``; raises ValueError when it isn't valid JSON (NaN and Infinity are not).
+
+    Of a value that nests too deep for the recursive parser, what lies more than ``DEEP`` levels down is kept as its text.
+    """
 
     def refuse(name: str) -> None:
         raise ValueError(name)
 
-    return json.loads(text, object_pairs_hook=_object, parse_constant=refuse)
+    try:
+        return json.loads(text, object_pairs_hook=_object, parse_constant=refuse)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str) -> Any:
+    """``parse`` with a stack of its own."""
+    stack: list[tuple[int, list, str | None]] = []  # where each open container begins, what it holds, and the key it waits to fill
+    key = None
+
+    def blank(i: int) -> int:
+        return WHITESPACE.match(text, i).end()
+
+    def name(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("key")
+        k, i = scanstring(text, i + 1, True)
+        i = blank(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("colon")
+        return k, blank(i + 1)
+
+    at = blank(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "[") and c:
+            stack.append((at, [], key))
+            at, key = blank(at + 1), None
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    key, at = name(at)
+                continue
+            value, closing = None, True
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+            closing = False
+        elif m := SCALAR.match(text, at):
+            value, at, closing = json.loads(m.group()), m.end(), False
+        else:
+            raise ValueError("value")
+        while True:  # a value is whole, or a container is closing
+            if closing:
+                begin, held, outer = stack.pop()
+                at += 1
+                value = (_object(held) if text[begin] == "{" else held) if len(stack) < DEEP else text[begin:at]
+                key = outer
+            at = blank(at)
+            if not stack:
+                if at != len(text):
+                    raise ValueError("extra")
+                return value
+            begin, held, _ = stack[-1]
+            held.append((key, value) if text[begin] == "{" else value)
+            c = text[at : at + 1]
+            closing = c == ("}" if text[begin] == "{" else "]")
+            if closing:
+                continue
+            if c != ",":
+                raise ValueError("comma")
+            at, key = blank(at + 1), None
+            if text[begin] == "{":
+                key, at = name(at)
+            break
 
 
 def _unwrap(value: Any) -> Any:
@@ -51,7 +123,7 @@ def _unwrap(value: Any) -> Any:
     while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
         try:
             inner = parse(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             break
         if not isinstance(inner, (dict, list, str)):
             break
@@ -71,27 +143,26 @@ class Walk:
 
     def members(self, kind: str, value: Any, listed: bool = False) -> Iterator[Any]:
         """The nodes of type ``kind`` that ``value`` holds in any shape: a list, a map, a group of further nodes, text, or one alone."""
-        value = _unwrap(value)
-        if value is None or value == {} and not listed:
-            return
-        if isinstance(value, list):
-            for x in value:
-                yield from self.members(kind, x, True)
-            return
-        if isinstance(value, _Object):
-            own = self.marks.get(kind, set()) & value.keys()
-            # an object without a mark of the type's own holds its nodes: those under the type's key, else all its values
-            inner = [v for k, v in value.pairs if k in self._containers(kind)]
-            if inner and not own:
-                for v in inner:
-                    yield from self.members(kind, v)
-                return
-            if not own and value and all(isinstance(_unwrap(v), (dict, list)) or v is None for v in value.values()):
-                for k, v in value.pairs:
-                    for x in self.members(kind, v, True):
-                        yield _named(x, k)
-                return
-        yield value
+        todo: list[tuple[Any, bool, str | None]] = [(value, listed, None)]  # what holds it by name, if a map does
+        while todo:
+            value, listed, name = todo.pop()
+            value = _unwrap(value)
+            if value is None or value == {} and not listed:
+                continue
+            if isinstance(value, list):
+                todo += [(x, True, name) for x in reversed(value)]
+                continue
+            if isinstance(value, _Object):
+                own = self.marks.get(kind, set()) & value.keys()
+                # an object without a mark of the type's own holds its nodes: those under the type's key, else all its values
+                inner = [v for k, v in value.pairs if k in self._containers(kind)]
+                if inner and not own:
+                    todo += [(v, False, name) for v in reversed(inner)]
+                    continue
+                if not own and value and all(isinstance(_unwrap(v), (dict, list)) or v is None for v in value.values()):
+                    todo += [(v, True, k) for k, v in reversed(value.pairs)]
+                    continue
+            yield value if name is None else _named(value, name)
 
     def _containers(self, kind: str) -> set[str]:
         return {path[-1] for held in self.shape.values() for child, path in held.items() if child == kind}
@@ -132,11 +203,13 @@ class Walk:
 
 
 def _records(value: Any) -> Iterator[Any]:
-    if isinstance(value, list):
-        for x in value:
-            yield from _records(_unwrap(x))
-    elif isinstance(value, _Object):
-        yield value
+    todo = [value]
+    while todo:
+        value = _unwrap(todo.pop())
+        if isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, _Object):
+            yield value
 
 
 def _named(node: Any, name: str) -> Any:
@@ -168,16 +241,13 @@ def label_nodes(df: DataFrame, key: str, doc: str, shape: Shape, marks: dict[str
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     value = parse(text) if text else None
-                except (ValueError, RecursionError):
+                except ValueError:
                     continue
                 if value is None:
                     continue
                 copy = hashlib.md5(text.encode()).hexdigest()[:16]
                 own: list[tuple] = []
-                try:
-                    Walk(shape, marks, lambda kind, pre, post, depth, place, fields: own.append((k, copy, kind, pre, post, depth, place, json.dumps(fields, ensure_ascii=False)))).document(value)
-                except RecursionError:  # deeper than any record of this shape
-                    continue
+                Walk(shape, marks, lambda kind, pre, post, depth, place, fields: own.append((k, copy, kind, pre, post, depth, place, json.dumps(fields, ensure_ascii=False)))).document(value)
                 rows += own
                 if len(rows) >= 20_000:
                     yield flush()

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from spanloom.operators import nested
 
 
@@ -53,3 +55,20 @@ def test_flat_tables(spark):
     assert tables["stories"].first()["end_segment"] == 4
     assert {r["event"] for r in tables["events"].collect()} == {"e0", "e1"}
     assert tables["weakeners"].first()["weakener"] == "alone"
+
+
+def test_deep_documents_keep_their_nodes(spark, rows):
+    deep = "[" * 20_000 + "1" + "]" * 20_000
+    objects = '{"a":' * 20_000 + "1" + "}" * 20_000
+    page = '{"ref": "p", "segments": [{"index": 0}], "stories": []}'
+    docs = [f'{{"extra": {deep}, "more": {objects}, "pages": [{page}]}}', '{"pages": ' + "[" * 20_000 + page + "]" * 20_000 + "}", f'{{"extra": {deep}], "pages": [{page}]}}', f'{{"extra": {deep[:-1]}, "pages": []}}']
+    df = spark.createDataFrame(list(enumerate(docs)), "rec_id bigint, doc string")
+    assert rows(nested.found_nodes(df), "rec_id", "node") == [(0, "page"), (0, "segment"), (1, "page"), (1, "segment")]
+
+
+def test_deep_parser_is_the_parser():
+    for text in ('{"a": [1, -2.5e3, {"b": null}], "a": "x\\u00e9", "c": {}, "d": []}', " [ ] ", '"x"', "[true, false , 0]"):
+        assert nested._parse_deep(text) == nested.parse(text)
+    for text in ("", "[1,]", "{", '{"a" 1}', "[1 2]", "01", "NaN", '{"a": 1,}', "[] x", "]", '"x'):
+        with pytest.raises(ValueError):
+            nested._parse_deep(text)
