@@ -1,3 +1,4 @@
+import math
 import random
 
 from spanloom.llm import consensus
@@ -52,3 +53,26 @@ def test_standing_verdicts(spark, rows):
     entries = spark.createDataFrame([("e", [("round_10", "r", "NO"), ("round_9", "r", "yes"), ("round_1", None, "yes"), None]), ("e", [("round_10", "r", "NO")])], "entry_id string, verdicts array<struct<round:string,reviewer:string,read_as:string>>")
     answers = spark.sql("select * from values ('e','j','Not a story',timestamp_ntz'2024-01-02 00:00:00',1L),('e','j',null,timestamp_ntz'2024-01-03 00:00:00',2L),('e','j','story',timestamp_ntz'2024-01-01 00:00:00',3L),('e','k','border-line ',timestamp_ntz'2024-01-01 00:00:00',4L) t(entry_id,judge,verdict,answered_at,answer_id)")
     assert rows(consensus.entry_claims(entries, answers), "source", "said") == [("judge:j", "not"), ("judge:k", "borderline"), ("reviewer:r", "not")]
+
+
+def test_joined_rounds_give_the_same(spark, rows):
+    _, claims = simulate(120, 3)
+    df = spark.createDataFrame(claims, "item string, source string, said string")
+    near, far = consensus.discover(df, LABELS), consensus.discover(df, LABELS, annotators=0)
+    assert rows(near[0]) == rows(far[0]) and len(rows(near[0])) == len({c[0] for c in claims})
+    assert rows(near[1], "source", "n_claims", "accuracy", "weight", "settled") == rows(far[1], "source", "n_claims", "accuracy", "weight", "settled")
+
+
+def test_reported_weights_are_chi_squared_over_summed_squared_distances(spark):
+    _, claims = simulate(200, 4)
+    items, sources = consensus.discover(spark.createDataFrame(claims, "item string, source string, said string"), LABELS)
+    label = {r["item"]: r["label"] for r in items.collect()}
+    said = {}
+    for i, s, v in claims:
+        said.setdefault(s, []).append((v, label[i]))
+    for r in sources.collect():
+        assert r["settled"]
+        own, n = said[r["source"]], r["n_claims"]
+        of = {t: sum(b == t for _, b in own) for t in LABELS}
+        off = sum(math.log(4) - math.log((own.count((a, b)) + consensus.PRIOR_ANY + consensus.PRIOR_RIGHT * (a == b)) / (of[b] + 4 * consensus.PRIOR_ANY + consensus.PRIOR_RIGHT)) for a, b in own)
+        assert abs(r["weight"] - n * (1 - 2 / (9 * n) + consensus.Z * math.sqrt(2 / (9 * n))) ** 3 / off) < 1e-5
