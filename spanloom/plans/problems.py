@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import drift, intervals, nested, reconcile
-from spanloom.runtime import materialize, read
+from spanloom.runtime import materialize, read, store
 
 #: The fields of boundary answers that problem 7's table has; the names under which files give them come from the change report.
 ANSWER_TARGET = {"item": "string", "code": "string", "action": "string", "first": "integer", "last": "integer", "segments": "list of integers", "verdict": "string", "rules": "list of strings", "reason": "string"}
 
+#: Fields that came up in the files later, approved for columns of their own: their rescued values are replayed.
+ANSWER_APPROVED = {"confidence": "number", "elapsed_ms": "number", "flags": "list of strings", "note": "string", "pass": "integer", "reader": "string", "second_reader": "boolean"}
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     ranges = intervals.entry_ranges(read(spark, d, "ruler_entries"))
@@ -32,16 +35,15 @@ def p5_stories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.change_report(read(spark, d, "answer_lines"), "stream_name", "file_seq", "raw")
+    lines = read(spark, d, "answer_lines").select("stream_name", "file_seq", "raw")
+    return drift.change_report(store(drift.ingest(lines, "raw", ANSWER_TARGET, exact=True)), "stream_name", "file_seq", ANSWER_TARGET)
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines under the target schema, values of renamed fields replayed into the fields that the change report leads them to,
     with whatever doesn't fit in ``_rescued``; lines delivered twice once."""
     lines = read(spark, d, "answer_lines").select("stream_name", "file_seq", "line_no", "raw").dropDuplicates(["stream_name", "file_seq", "line_no", "raw"])
-    names = drift.approved_names(lines, drift.change_report(lines, "stream_name", "file_seq", "raw"), "stream_name", "file_seq", list(ANSWER_TARGET))
-    table = drift.ingest(lines, "raw", ANSWER_TARGET).join(names, ["stream_name", "file_seq"], "left")
-    return drift.promote(table, ANSWER_TARGET, "names")
+    return drift.consistent_table(lines, "stream_name", "file_seq", "raw", ANSWER_TARGET, ANSWER_APPROVED)[0]
 
 
 def queries() -> dict:
