@@ -212,20 +212,29 @@ def approved_names(files: DataFrame, report: DataFrame, stream: str, file: str,
 # --- the change report ------------------------------------------------------------------------------------------------
 
 
-def _seen(table: DataFrame, target: dict[str, str]) -> Column:
-    """What a row of an ingested table had non-null, ``array<struct<field, type, text>>``, from typed columns and the rescue column.
+def _types(target: dict[str, str]) -> Column:
+    """What a row of an ingested table had non-null, ``array<struct<field, type>>``, from typed columns and the rescue column. The
+    type of an empty list is null."""
+    typed = [F.when(F.isnotnull(n), F.struct(F.lit(n).alias("field"), (F.when(F.size(n) > 0, k) if k.startswith("list") else F.lit(k)).alias("type"))) for n, k in target.items()]
+    other = F.transform(_rescued_fields(), lambda e: F.struct(e["key"].alias("field"), json_type(e["value"]).alias("type")))
+    nothing = F.array().cast("array<struct<field:string,type:string>>")
+    return F.concat(F.array_compact(F.array(*typed)) if typed else nothing, F.coalesce(other, nothing))
 
-    The type of an empty list is null. ``text`` is the value's JSON, strings as they are between quotes.
-    """
+
+def _rescued_fields() -> Column:
+    return F.map_entries(F.map_filter(F.from_json("_rescued", "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & (k != "_line")))
+
+
+def _seen(target: dict[str, str]) -> Column:
+    """The same as ``array<struct<field, text>>``: each value's JSON, strings as they are between quotes."""
 
     def text(name: str, kind: str) -> Column:
         return F.concat(F.lit('"'), F.col(name), F.lit('"')) if kind == "string" else F.to_json(name) if kind.startswith("list") or kind == "object" else F.col(name).cast("string")
 
-    typed = [F.when(F.isnotnull(n), F.struct(F.lit(n).alias("field"), (F.when(F.size(n) > 0, k) if k.startswith("list") else F.lit(k)).alias("type"), text(n, k).alias("text"))) for n, k in target.items()]
-    kept = F.map_entries(F.map_filter(F.from_json("_rescued", "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & (k != "_line")))
+    typed = [F.when(F.isnotnull(n), F.struct(F.lit(n).alias("field"), text(n, k).alias("text"))) for n, k in target.items()]
     as_text = lambda v: F.coalesce(F.concat(F.lit('"'), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.lit('"')), F.to_json(v))
-    other = F.transform(kept, lambda e: F.struct(e["key"].alias("field"), json_type(e["value"]).alias("type"), as_text(e["value"]).alias("text")))
-    nothing = F.array().cast("array<struct<field:string,type:string,text:string>>")
+    other = F.transform(_rescued_fields(), lambda e: F.struct(e["key"].alias("field"), as_text(e["value"]).alias("text")))
+    nothing = F.array().cast("array<struct<field:string,text:string>>")
     return F.concat(F.array_compact(F.array(*typed)) if typed else nothing, F.coalesce(other, nothing))
 
 
@@ -445,8 +454,7 @@ def change_report(table: DataFrame, stream: str, file: str, target: dict[str, st
     table gives none.
     """
     df = table.select(F.col(stream).cast("string").alias("stream"), F.col(file).alias("file"), *(F.col(n) for n in target), "_rescued").where("stream is not null and file is not null").where(F.coalesce(~F.col("_rescued").startswith('{"_line":'), F.lit(True)))
-    seen = df.select("stream", "file", _seen(df, target).alias("seen"))
-    types = field_types(seen.select("stream", "file", F.explode_outer(F.transform("seen", lambda e: F.struct(e["field"].alias("field"), e["type"].alias("type")))).alias("f")).select("stream", "file", "f.*"))
+    types = field_types(df.select("stream", "file", F.explode_outer(_types(target)).alias("f")).select("stream", "file", "f.*"))
     now = F.map_from_entries(F.array_compact(F.collect_list(F.when(F.isnotnull("field"), F.struct("field", "type")))))  # a file may have no field at all
     per_file = types.groupBy("stream", "file").agg(now.alias("now"))
     line_up = Window.partitionBy("stream").orderBy("file")
@@ -457,7 +465,7 @@ def change_report(table: DataFrame, stream: str, file: str, target: dict[str, st
     # only files in which something went and something came are looked at for renames
     open_ = steps.where((F.size("gone") > 0) & (F.size("new") > 0))
     sides = open_.select(F.col("prior").alias("file"), "stream", F.col("file").alias("step"), F.lit("old").alias("side"), F.col("gone").alias("asked")).unionByName(open_.select("file", "stream", F.col("file").alias("step"), F.lit("new").alias("side"), F.col("new").alias("asked")))
-    given = seen.join(sides, ["stream", "file"]).select("stream", "step", "side", F.explode(_evidence(F.col("seen"), F.col("asked"))).alias("e")).select("stream", "step", "side", "e.*")
+    given = df.join(sides, ["stream", "file"]).select("stream", "step", "side", "asked", _seen(target).alias("seen")).select("stream", "step", "side", F.explode(_evidence(F.col("seen"), F.col("asked"))).alias("e")).select("stream", "step", "side", "e.*")
     counted = given.groupBy("stream", "step", "side", "field", "other", "what").agg(*(F.sum(c).alias(c) for c in EVIDENCE[4:]))
     asked = sides.select("stream", "step", "side", F.explode("asked").alias("field"), F.lit("").alias("other"), F.lit("gone").alias("what"), *(F.lit(0.0).alias(c) for c in EVIDENCE[4:]))
     truth = table.sparkSession.range(1).select(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(64)) for w in ("yes", "no"))).first()
