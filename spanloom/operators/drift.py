@@ -95,18 +95,14 @@ def _exact(value: Column, kind: str) -> Column:
     return F.when((shape == "ARRAY<VOID>") & ~F.exists(got, F.isnull) | fits & ~F.exists(got, F.isnull), got)
 
 
-def _as_written(value: Column) -> Column:
-    """A variant's JSON in which a number, alone or in a list, that was written with a decimal point has one still."""
-    shape = F.schema_of_variant(value)
-    number = lambda v, s: F.concat(F.to_json(v), F.when(s.startswith("DECIMAL") & s.endswith(",0)"), ".0").otherwise(""))
-    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: number(v, F.schema_of_variant(v)))
-    return F.when(shape.startswith("ARRAY<DECIMAL"), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).otherwise(number(value, shape))
-
-
 def _json_object(fields: Column) -> Column:
-    """A map of variants as JSON text, the values as they were written."""
-    name = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
-    pairs = F.transform(F.map_entries(fields), lambda e: F.concat(name(e["key"]), F.lit(":"), _as_written(e["value"])))
+    """A map of variants as JSON text in which a number, alone or in a list, that was written with a decimal point has one still."""
+    point = lambda text, shape: F.when(shape.startswith("DECIMAL") & shape.endswith(",0)"), F.concat(text, F.lit(".0"))).otherwise(text)
+    item = lambda v: point(F.to_json(v), F.schema_of_variant(v))
+    listed = lambda v: F.concat(F.lit("["), F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), item), ","), F.lit("]"))
+    name = lambda k: F.when(k.rlike(r"^[\w ]*$"), F.concat(F.lit('"'), k, F.lit('":'))).otherwise(F.concat(F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1), F.lit(":")))
+    spelt = F.transform(F.map_entries(fields), lambda e: F.struct(name(e["key"]).alias("k"), e["value"].alias("v"), F.schema_of_variant(e["value"]).alias("s")))
+    pairs = F.transform(spelt, lambda e: F.concat(e["k"], F.when(e["s"].startswith("ARRAY<DECIMAL"), listed(e["v"])).otherwise(point(F.to_json(e["v"]), e["s"]))))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
@@ -212,21 +208,13 @@ def approved_names(files: DataFrame, report: DataFrame, stream: str, file: str,
 # --- the change report ------------------------------------------------------------------------------------------------
 
 
-def _types(target: dict[str, str]) -> Column:
-    """What a row of an ingested table had non-null, ``array<struct<field, type>>``, from typed columns and the rescue column. The
-    type of an empty list is null."""
-    typed = [F.when(F.isnotnull(n), F.struct(F.lit(n).alias("field"), (F.when(F.size(n) > 0, k) if k.startswith("list") else F.lit(k)).alias("type"))) for n, k in target.items()]
-    other = F.transform(_rescued_fields(), lambda e: F.struct(e["key"].alias("field"), json_type(e["value"]).alias("type")))
-    nothing = F.array().cast("array<struct<field:string,type:string>>")
-    return F.concat(F.array_compact(F.array(*typed)) if typed else nothing, F.coalesce(other, nothing))
-
-
 def _rescued_fields() -> Column:
     return F.map_entries(F.map_filter(F.from_json("_rescued", "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & (k != "_line")))
 
 
 def _seen(target: dict[str, str]) -> Column:
-    """The same as ``array<struct<field, text>>``: each value's JSON, strings as they are between quotes."""
+    """What a row of an ingested table had non-null, ``array<struct<field, text>>``, from typed columns and the rescue column: each
+    value's JSON, strings as they are between quotes."""
 
     def text(name: str, kind: str) -> Column:
         return F.concat(F.lit('"'), F.col(name), F.lit('"')) if kind == "string" else F.to_json(name) if kind.startswith("list") or kind == "object" else F.col(name).cast("string")
@@ -238,11 +226,18 @@ def _seen(target: dict[str, str]) -> Column:
     return F.concat(F.array_compact(F.array(*typed)) if typed else nothing, F.coalesce(other, nothing))
 
 
-def field_types(fields: DataFrame) -> DataFrame:
-    """``(stream, file, field, type)`` of the fields that some line has non-null. Of mixed types the commonest counts (of
-    integer and number, number); a field with empty lists only is a list of strings."""
-    each = fields.groupBy("stream", "file", "field").agg(*(F.count_if(F.col("type") == t).alias(f"_{i}") for i, t in enumerate(SQL_TYPES)))
+def field_types(df: DataFrame, target: dict[str, str]) -> DataFrame:
+    """``(stream, file, field, type)`` of the fields that some row of an ingested table has non-null; a file without any has one row
+    with a null field. Of mixed types the commonest counts (of integer and number, number); a field with empty lists only is a
+    list of strings. Typed columns are counted where they stand, rescued fields are spread out first."""
     names = list(SQL_TYPES)
+    counted = df.groupBy("stream", "file").agg(F.count("*").alias("_all"), *(c for i, (n, k) in enumerate(target.items()) for c in (F.count(n).alias(f"_a{i}"), (F.count_if(F.size(n) > 0) if k.startswith("list") else F.count(n)).alias(f"_n{i}"))))
+    rows = [F.when(F.col(f"_a{i}") > 0, F.struct(F.lit(n).alias("field"), F.lit(k).alias("type"), F.col(f"_n{i}").alias("n"))) for i, (n, k) in enumerate(target.items())]
+    nobody = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("type"), F.lit(0).cast("bigint").alias("n"))
+    typed = counted.select("stream", "file", F.explode(F.array_compact(F.array(*rows, nobody))).alias("f")).select("stream", "file", "f.*")
+    kinds = F.transform(_rescued_fields(), lambda e: F.struct(e["key"].alias("field"), json_type(e["value"]).alias("type")))
+    kept = df.where("_rescued is not null").select("stream", "file", F.explode(kinds).alias("f")).groupBy("stream", "file", "f.field", "f.type").agg(F.count("*").alias("n"))
+    each = typed.unionByName(kept).groupBy("stream", "file", "field").agg(*(F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0)).alias(f"_{i}") for i, t in enumerate(names)))
     integer, number = f"_{names.index('integer')}", f"_{names.index('number')}"
     counts = [F.struct((F.col(f"_{i}") + (F.when(F.col(number) > 0, F.col(integer)).otherwise(0) if t == "number" else F.lit(0))).alias("n"), F.lit(-i).alias("order"), F.lit(t).alias("type")) for i, t in enumerate(names)]
     best = F.greatest(*counts)
@@ -454,7 +449,7 @@ def change_report(table: DataFrame, stream: str, file: str, target: dict[str, st
     table gives none.
     """
     df = table.select(F.col(stream).cast("string").alias("stream"), F.col(file).alias("file"), *(F.col(n) for n in target), "_rescued").where("stream is not null and file is not null").where(F.coalesce(~F.col("_rescued").startswith('{"_line":'), F.lit(True)))
-    types = field_types(df.select("stream", "file", F.explode_outer(_types(target)).alias("f")).select("stream", "file", "f.*"))
+    types = field_types(df, target)
     now = F.map_from_entries(F.array_compact(F.collect_list(F.when(F.isnotnull("field"), F.struct("field", "type")))))  # a file may have no field at all
     per_file = types.groupBy("stream", "file").agg(now.alias("now"))
     line_up = Window.partitionBy("stream").orderBy("file")
