@@ -2,7 +2,9 @@
 
 Each source's documents, in a pseudorandom order, are packed end to end into blocks of a fixed number of tokens. Output
 shards draw how many blocks they take from each source; slots are numbered per source, and a pseudorandom permutation per
-source and repetition maps slot numbers to block numbers, by which slots and blocks are joined.
+source and repetition maps slot numbers to block numbers, by which slots and blocks are joined. The draws are multinomial given
+that all shards together take each source's quota: they run down a seeded binary tree over the shards, so that every task works
+out its own shards' counts and slot numbers from the quotas alone, and the driver holds nothing that grows with the shards.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import encoding
@@ -23,6 +25,8 @@ from spanloom.runtime import materialize, store
 BLOCK_TOKENS, SHARD_BLOCKS, SEED = 256, 512, 20240501
 #: Ranges of the pseudorandom order over which a source's running token count is taken in parallel.
 BUCKETS = 256
+#: Blocks from which on a node's draw is replaced by its mean: the generator's own limit, at which a draw strays by under 0.01 %.
+EXACT_DRAW = 1_000_000_000
 
 
 def _ordered(packed: DataFrame, seed: int) -> DataFrame:
@@ -68,14 +72,56 @@ def plan_quotas(sources: pd.DataFrame, total_tokens: int, block_tokens: int = BL
     return sources.assign(quota=np.minimum(wanted, most))
 
 
-def draw_counts(quotas: np.ndarray, shard_blocks: int, seed: int) -> np.ndarray:
-    """Blocks per shard (rows) and source: multinomial draws given that all shards together take exactly the quotas."""
-    rng, left, out = np.random.default_rng(seed), quotas.astype(np.int64).copy(), []
-    while left.sum() > 0:
-        took = rng.multivariate_hypergeometric(left, min(shard_blocks, int(left.sum())), method="marginals")
-        out.append(took)
-        left -= took
-    return np.array(out, dtype=np.int64).reshape(len(out), len(quotas))
+def _halve(quotas: np.ndarray, take: int, seed: tuple[int, ...]) -> np.ndarray:
+    """How many of ``take`` blocks drawn without replacement are of each source. Beyond ``EXACT_DRAW`` blocks they are the quotas'
+    shares, from which a draw of that size hardly strays, by largest remainders."""
+    whole = int(quotas.sum())
+    if take >= whole:
+        return quotas.copy()
+    if whole < EXACT_DRAW:
+        return np.random.default_rng(seed).multivariate_hypergeometric(quotas, take, method="marginals")
+    exact = [divmod(int(q) * take, whole) for q in quotas]
+    out = np.array([n for n, _ in exact], dtype=np.int64)
+    out[sorted(range(len(exact)), key=lambda i: (-exact[i][1], i))[: take - int(out.sum())]] += 1
+    return out
+
+
+def shard_counts(lo: int, hi: int, quotas: np.ndarray, shard_blocks: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(shard, counts, first)`` of the shards from ``lo`` to before ``hi``: blocks of each source, and the source's number of its first.
+
+    Shards hold ``shard_blocks`` blocks, but for the last. A node of the tree draws, from a seed of its own, what its left half takes of
+    its blocks; the right half has the rest. Whatever range is asked for, a shard's counts are the same.
+    """
+    shards = -(-int(quotas.sum()) // shard_blocks)
+    todo = [(0, shards, quotas.astype(np.int64), np.zeros(len(quotas), dtype=np.int64))]
+    while todo:
+        start, end, held, first = todo.pop()
+        if end <= lo or start >= hi or start >= end:
+            continue
+        if end - start == 1:
+            yield start, held, first
+            continue
+        middle = (start + end) // 2
+        left = _halve(held, (middle - start) * shard_blocks, (seed, start, end))
+        todo += [(middle, end, held - left, first + left), (start, middle, left, first)]
+
+
+def draw_shards(spark: SparkSession, quotas: np.ndarray, shard_blocks: int, seed: int) -> DataFrame:
+    """``(shard, source_no, first, n)`` of all shards, for sources that a shard takes blocks of."""
+    shards = -(-int(quotas.sum()) // shard_blocks)
+    names, kinds = ["shard", "source_no", "first", "n"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:  # ids of a partition's batch follow one another
+                ids, out = b.column(0).to_numpy(), [[], [], [], []]
+                for shard, counts, first in shard_counts(int(ids[0]), int(ids[-1]) + 1, quotas, shard_blocks, seed):
+                    of = np.nonzero(counts)[0]
+                    for column, values in zip(out, (np.full(len(of), shard), of, first[of], counts[of])):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=k) for c, k in zip(out, kinds)], names)
+
+    return spark.range(shards).mapInArrow(run, "shard bigint, source_no int, first bigint, n bigint")
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -109,7 +155,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
 
     The mix has one row per block ``(shard, slot, source, repeat, block_no, n_tokens, n_docs, ids)``, ``slot`` in random order
     within its shard. The report has one row per source of either table ``(source, docs, tokens, target_share, max_repeats,
-    mixed_tokens, share_of_total, actual_share, most_uses)``: shares of the tokens aimed at and of those mixed. ``total_tokens`` is the size to aim at: all tokens of the documents if None. A
+    mixed_tokens, share_of_total, actual_share, most_uses, shortfall, most_total)``: shares of the tokens aimed at and of those mixed,
+    the tokens that lack to the target share of the aim, and the total up to which the source can give its share (null if it has
+    no share); the least of these is the largest mix in which all shares hold. ``total_tokens`` is the size to aim at: all
+    tokens of the documents if None. A
     source's blocks are all used once before any is used again, and never more than ``max_repeats`` times. Documents without
     a source or without tokens take no part; sources without a target, with a zero share or without documents give
     nothing. Of several targets for one source the first in order counts. Sources are taken to be few (as many as fit a
@@ -125,12 +174,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     plan["blocks"] = -(-plan.tokens // block_tokens)
     aim = int(plan.tokens.sum()) if total_tokens is None else total_tokens
     plan = plan_quotas(plan, aim, block_tokens)
-    counts = draw_counts(plan.quota.to_numpy(), shard_blocks, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    shard, src = np.nonzero(counts)
-    table = pd.DataFrame({"shard": shard, "source": plan.source.to_numpy()[src], "first": first[shard, src], "n": counts[shard, src], "blocks": plan.blocks.to_numpy(dtype=np.int64)[src], "source_no": src})
-    schema = "shard bigint, source string, first bigint, n bigint, blocks bigint, source_no bigint"
-    draws = spark.createDataFrame([tuple(map(_plain, r)) for r in table.itertuples(index=False)], schema)
+    sources = [(i, *map(_plain, r)) for i, r in enumerate(plan[["source", "blocks"]].itertuples(index=False))]
+    known_blocks = spark.createDataFrame(sources, "source_no int, source string, blocks bigint")  # one row per source
+    draws = draw_shards(spark, plan.quota.to_numpy(dtype=np.int64), shard_blocks, seed).join(F.broadcast(known_blocks), "source_no")
     slots = draws.select("shard", "source", "blocks", "source_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at_source"))
     slots = slots.withColumn("repeat", F.floor(F.col("at_source") / F.col("blocks")))
     slots = slots.withColumn("block_no", F.pandas_udf(_block_of, "bigint")("at_source", "blocks", F.col("source_no") * 1_000_003 + F.col("repeat") + seed))
@@ -148,6 +194,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     all_given = given.agg(F.sum("mixed_tokens").alias("all_tokens"))
     report = known.join(given, "source", "left").crossJoin(F.broadcast(all_given))
     report = report.select("source", "docs", "tokens", "target_share", "max_repeats", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce(F.round(F.col("mixed_tokens") / F.lit(aim), 6), F.lit(0.0)).alias("share_of_total"), F.coalesce(F.round(F.col("mixed_tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("actual_share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    wanted = F.coalesce("target_share", F.lit(0.0)) * F.lit(aim)
+    most = F.col("tokens") * F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)) / F.col("target_share")
+    report = report.withColumn("shortfall", F.greatest(F.lit(0), F.round(wanted - F.col("mixed_tokens"))).cast("bigint")).withColumn("most_total", F.when(F.col("target_share") > 0, F.floor(most)).cast("bigint"))
     return mixed, report
 
 

@@ -14,9 +14,32 @@ def test_permutation_is_one():
 
 def test_draws_take_exactly_the_quotas():
     quotas = np.array([100, 0, 7, 1])
-    counts = mixture.draw_counts(quotas, 16, 1)
-    assert (counts.sum(axis=0) == quotas).all() and (counts.sum(axis=1)[:-1] == 16).all()
-    assert mixture.draw_counts(np.array([0, 0]), 16, 1).shape == (0, 2)
+    drawn = list(mixture.shard_counts(0, 100, quotas, 16, 1))
+    counts = np.array([c for _, c, _ in drawn])
+    assert [s for s, _, _ in drawn] == list(range(7)) and (counts.sum(axis=0) == quotas).all() and (counts.sum(axis=1)[:-1] == 16).all()
+    assert (np.array([f for _, _, f in drawn]) == np.cumsum(counts, axis=0) - counts).all()
+    assert list(mixture.shard_counts(0, 10, np.array([0, 0]), 16, 1)) == []
+
+
+def test_a_shard_is_the_same_in_any_range():
+    quotas = np.array([300_000_000, 200_000_000, 12_345])
+    shards = -(-int(quotas.sum()) // 512)
+    far = {s: (tuple(c), tuple(f)) for s, c, f in mixture.shard_counts(shards - 40, shards, quotas, 512, 3)}
+    assert len(far) == 40 and all(far[s] == (tuple(c), tuple(f)) for s, c, f in mixture.shard_counts(shards - 7, shards - 3, quotas, 512, 3))
+    last = far[shards - 1]
+    assert tuple(np.add(last[0], last[1])) == tuple(quotas)
+
+
+def test_huge_nodes_split_by_their_shares():
+    quotas = np.array([3 * 10**12, 10**12, 5])
+    left = mixture._halve(quotas, 10**12, (1, 2))
+    assert left.sum() == 10**12 and (left <= quotas).all() and abs(left[0] / 10**12 - 0.75) < 1e-6
+
+
+def test_a_million_shards(spark):
+    quotas = np.array([1_500_000, 500_000])
+    drawn = mixture.draw_shards(spark, quotas, 2, 5).groupBy("source_no").agg({"n": "sum", "*": "count"}).collect()
+    assert {r["source_no"]: r["sum(n)"] for r in drawn} == {0: 1_500_000, 1: 500_000}
 
 
 def test_quotas_are_capped():
