@@ -8,7 +8,7 @@ length take a logarithmic number of rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.runtime import find_heavy, lookup, materialize
@@ -24,14 +24,20 @@ def star_edges(groups: DataFrame, members: str) -> DataFrame:
     return ids.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a <> b").distinct()
 
 
-def _codes(edges: DataFrame) -> DataFrame:
-    """``(card, v)``: a 64-bit code for each vertex; the seed is moved on until no two vertices share a code."""
+def _codes(edges: DataFrame, hashed=F.xxhash64) -> DataFrame:
+    """``(card, v)``: a 64-bit code of its own for each vertex.
+
+    A card's code is its hash, made even. Cards that share theirs with others, a handful even among billions, are numbered in order
+    and take the odd numbers from 1 on, so no two codes are ever equal.
+    """
     cards = materialize(edges.select(F.explode(F.array("a", "b")).alias("card")).distinct())
-    for seed in range(100):
-        coded = cards.select("card", F.xxhash64(F.lit(seed), "card").alias("v"))
-        if coded.groupBy("v").count().where("count > 1").isEmpty():
-            return coded
-    raise AssertionError("a hundred seeds all collide")
+    coded = cards.select("card", (hashed("card").bitwiseAND(F.lit(-2))).alias("v"))
+    shared = materialize(coded.groupBy("v").count().where("count > 1").select("v"))
+    if shared.isEmpty():
+        return coded
+    again = materialize(coded.join(shared, "v", "left_semi"))
+    numbered = again.select("card", (F.row_number().over(Window.orderBy("card")).cast("bigint") * 2 - 1).alias("v"))
+    return coded.join(shared, "v", "left_anti").select("card", "v").unionByName(numbered)
 
 
 def contract(edges: DataFrame, seed: int = 0) -> DataFrame:

@@ -44,3 +44,12 @@ def test_heavy_hub_takes_the_broadcast_path(spark):
     got = {r["card_id"]: r["group_id"] for r in components.group_ids(df, "members").collect()}
     assert len(got) == 24_001 + 2000 and got["leaf23999"] == got["hub"] == "hub"
     assert all(got[f"p{i:04d}"] == got[f"p{i + 1:04d}"] == f"p{i:04d}" for i in range(0, 2000, 2))
+
+
+def test_colliding_codes_are_set_apart(spark, rows):
+    from pyspark.sql import functions as F
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")], "a string, b string")
+    coded = rows(components._codes(edges, lambda c: F.when(F.col(c).isin("a", "b", "e"), 8).otherwise(F.xxhash64(c)).cast("bigint")))
+    assert [c for c, _ in coded] == list("abcde") and len({v for _, v in coded}) == 5
+    assert dict(coded)["a"] == 1 and dict(coded)["b"] == 3 and dict(coded)["e"] == 5
