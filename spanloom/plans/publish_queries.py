@@ -58,14 +58,14 @@ def page_documents(spark: SparkSession, d: str) -> DataFrame:
 def stream_weeks(spark: SparkSession, d: str) -> DataFrame:
     """The events replayed as a stream into weekly counts."""
     stream = _replay(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    weeks = ledger.drain(ledger.weekly_counts(stream), f"weeks_{abs(hash(d))}", "complete")
+    weeks = ledger.drain(ledger.weekly_counts(stream), "complete")
     return weeks.select(F.to_date("week").alias("week"), "event_type", "n")
 
 
 def stream_standing(spark: SparkSession, d: str) -> DataFrame:
     """Judges' answers replayed as a stream: the standing one of each judge on each entry."""
     stream = _replay(spark, d, "judge_answers").where("verdict is not null").withColumn("answered_at", F.col("answered_at").cast("timestamp"))
-    last = ledger.drain(ledger.standing_answers(stream), f"standing_{abs(hash(d))}", "complete")
+    last = ledger.drain(ledger.standing_answers(stream), "complete")
     return last.select("entry_id", "judge", "verdict")
 
 

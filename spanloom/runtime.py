@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as heavy from this share of all rows on, so that there are at most 1 / share heavy keys: the bound of what is broadcast.
@@ -17,27 +17,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; make a folder of our own only where none is set (tests, one machine)."""
+    """Use the session's ``spark.checkpoint.dir``. Where none is set, a local session (tests, one machine) gets a folder of its own;
+    on a cluster that is an error, as its machines don't share one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spanloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files, so a lost executor costs no lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Like ``materialize``, for wide rows: a compressed columnar table in the checkpoint folder, of which later readers take only
-    the columns they need. It lies there until the folder is cleared."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """Write ``df`` as a compressed columnar table to the checkpoint folder and continue from the files, so a lost executor costs no
+    lineage, later readers take only the columns they need, and the planner knows the true size: that of a checkpoint is
+    estimated from its inputs', which over the rounds of a loop of joins grows without bound. It lies there until the folder is cleared.
+    """
+    path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+materialize = store
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``store``, with the number of rows, which is counted as they are written."""
+    seen = Observation()
+    stored = store(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return stored, seen.get["n"]
+
+
 def heavy_keys(df: DataFrame, key: str, total: int, share: float = HEAVY_SHARE, least: int = 10_000) -> DataFrame:
     """The keys of ``df`` with at least ``max(least, share * total)`` rows: never more than ``1 / share`` of them."""
     return df.groupBy(key).count().where(F.col("count") >= max(least, int(total * share))).select(key)

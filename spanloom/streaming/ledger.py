@@ -5,32 +5,38 @@ Windows with watermarks and sessions are extras; the batch operators of the same
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanloom.runtime import scratch
+
 
 def append_once(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
     """Append rows whose ``key`` the ledger at ``path`` doesn't hold yet; a batch that is run again adds nothing.
 
-    Each batch writes its own folder, so a repeated batch replaces what it wrote before it failed.
+    The ledger is one table of any file system, partitioned by batch, so a repeated batch replaces what it wrote before it failed.
+    Of earlier batches only keys within the new ones' range are read.
     """
 
     def insert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        earlier = [p for p in _folders(path) if p != f"batch={n}"]
-        if earlier:
-            fresh = fresh.join(spark.read.parquet(*(f"{path}/{p}" for p in earlier)).select(key), key, "left_anti")
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if exists(spark, path):
+            lo, hi = batch.agg(F.min(key), F.max(key)).first()
+            held = spark.read.parquet(path)
+            if "batch" in held.columns and lo is not None:
+                fresh = fresh.join(held.where((F.col("batch") != n) & F.col(key).between(lo, hi)).select(key), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folders(path: str) -> list[str]:
-    return sorted(p for p in os.listdir(path) if p.startswith("batch=")) if os.path.isdir(path) else []
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, on whatever file system it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.exists(p) and len(fs.listStatus(p)) > 0
 
 
 def weekly_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
@@ -48,11 +54,19 @@ def standing_answers(answers: DataFrame, late: str = "30 days") -> DataFrame:
     return answers.withWatermark("answered_at", late).groupBy("entry_id", "judge").agg(F.max_by("verdict", F.struct("answered_at", "answer_id")).alias("verdict"), F.max("answered_at").alias("answered_at"))
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there now and return its table: for tests and batch replays."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now into a table at ``path`` and return it; mode 'append' or 'complete'.
+
+    The table and the stream's own checkpoint lie below ``path``, by default a new folder in the session's checkpoint folder. Each
+    batch writes its part as its own folder; in complete mode the last one is the whole result.
+    """
+    spark = stream.sparkSession
+    path = path or scratch(spark, "stream")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/table/batch={n}")
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    if not exists(spark, f"{path}/table"):
+        return spark.createDataFrame([], stream.schema)
+    table = spark.read.schema(stream.schema.add("batch", "bigint")).parquet(f"{path}/table")
+    if mode == "complete":
+        table = table.where(F.col("batch") == table.agg(F.max("batch")).first()[0])
+    return table.drop("batch")
