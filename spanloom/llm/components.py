@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.runtime import find_heavy, lookup, materialize
+from spanloom.runtime import counted, find_heavy, lookup, materialize
 
 
 def star_edges(groups: DataFrame, members: str) -> DataFrame:
@@ -43,27 +43,25 @@ def _codes(edges: DataFrame, hashed=F.xxhash64) -> DataFrame:
 def contract(edges: DataFrame, seed: int = 0) -> DataFrame:
     """``(v, root)`` for every vertex of ``edges`` (bigint ``a``, ``b``; no loops): vertices of one component share a root.
 
-    All state between rounds lies in the checkpoint folder. A hub with a large part of all edges is hooked by an aggregate
+    All state between rounds lies in the checkpoint folder, and is counted as it is written. A hub with a large part of all edges is hooked by an aggregate
     with partial results on the map side and relabelled by a broadcast of at most ``1 / HEAVY_SHARE`` rows.
     """
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges, left = counted(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mappings: list[DataFrame] = []
     sizes: list[int] = []
-    left = edges.count()
     while left:
         order = lambda c: F.xxhash64(F.lit(seed + len(mappings)), F.col(c))
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("n")), F.struct(F.col("b").alias("v"), F.col("a").alias("n")))).alias("e")).select("e.*")
         hooks = ends.groupBy("v").agg(F.min(F.struct(order("n").alias("h"), "n")).alias("best"))
         own = F.struct(order("v").alias("h"), F.col("v").alias("n"))
-        hooks = materialize(hooks.select("v", F.least("best", own)["n"].alias("root")))
+        hooks, n = counted(hooks.select("v", F.least("best", own)["n"].alias("root")))
         mappings.append(hooks)
-        sizes.append(hooks.count())
+        sizes.append(n)
         once = lookup(edges, hooks.withColumnsRenamed({"v": "a", "root": "ra"}), "a", find_heavy(edges, "a", left), "inner").select("ra", "b")
         if left >= 20_000:  # read twice if some vertex is heavy
             once = materialize(once)
         both = lookup(once, hooks.withColumnsRenamed({"v": "b", "root": "rb"}), "b", find_heavy(once, "b", left), "inner").select("ra", "rb").where("ra <> rb")
-        edges = materialize(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        left = edges.count()
+        edges, left = counted(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not mappings:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     whole = mappings[-1]
@@ -79,17 +77,16 @@ def group_ids(groups: DataFrame, members: str) -> DataFrame:
     ``groups`` holds arrays of members that match each other. Nulls, empty arrays, repeated rows and matches of a member with
     itself link nothing; an empty table gives an empty result.
     """
-    edges = materialize(star_edges(groups, members))
-    n = edges.count()
+    edges, n = counted(star_edges(groups, members))
     codes = materialize(_codes(edges))
     coded = lookup(edges, codes.withColumnsRenamed({"card": "a", "v": "va"}), "a", find_heavy(edges, "a", n), "inner").select("b", "va")
     if n >= 20_000:
         coded = materialize(coded)
     coded = lookup(coded, codes.withColumnsRenamed({"card": "b", "v": "vb"}), "b", find_heavy(coded, "b", n), "inner").select(F.col("va").alias("a"), F.col("vb").alias("b"))
     roots = contract(coded)
-    labelled = materialize(codes.join(roots, "v").select("card", "root"))
+    labelled, m = counted(codes.join(roots, "v").select("card", "root"))
     names = labelled.groupBy("root").agg(F.min("card").alias("group_id"))
-    return lookup(labelled, names, "root", find_heavy(labelled, "root", labelled.count()), "inner").select(F.col("card").alias("card_id"), "group_id")
+    return lookup(labelled, names, "root", find_heavy(labelled, "root", m), "inner").select(F.col("card").alias("card_id"), "group_id")
 
 
 def merge_matches(decisions: DataFrame) -> DataFrame:
