@@ -7,6 +7,7 @@ all other members. Invisible characters vanish, blanks become one plain blank, a
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -17,34 +18,51 @@ from pyspark.sql import functions as F
 
 # Strings that readers can't tell apart though Unicode doesn't decompose them into one another.
 LOOK_ALIKES = """
-A Α А
-B Β В
-C Ϲ С
-E Ε Е
-H Η Н
-I Ι І
-J Ј
-K Κ К
-M Μ М
-N Ν
-O Ο О
-P Ρ Р
-S Ѕ
-T Τ Т
-X Χ Х
-Y Υ Ү
-Z Ζ
+A Α А ꓮ Ꭺ
+B Β В ꓐ Ᏼ
+C Ϲ С ꓚ Ꮯ
+E Ε Е ꓰ Ꭼ
+H Η Н ꓧ Ꮋ
+I Ι І ꓲ
+J Ј ꓙ Ꭻ
+K Κ К ꓗ Ꮶ
+M Μ М ꓟ Ꮇ
+N Ν ꓠ
+O Ο О ꓳ Օ
+P Ρ Р ꓑ Ꮲ
+S Ѕ ꓢ Ꮪ Տ
+T Τ Т ꓔ Ꭲ
+X Χ Х ꓫ
+Y Υ Ү ꓬ
+Z Ζ ꓜ Ꮓ
+D ꓓ Ꭰ
+F ꓝ
+G ꓖ Ꮐ Ԍ
+L ꓡ Ꮮ
+Q Ԛ
+R ꓣ Ꮢ
+U ꓴ Ս
+V ꓦ Ꮩ
+W ꓪ Ꮃ Ԝ
 a а
 c с ϲ
 e е
 i і
 j ј
-o ο о
+o ο о օ
 p р
 s ѕ
 x х
 y у
 v ν
+d ԁ
+g ɡ ց
+h һ
+l ӏ
+n ո
+q ԛ
+u ս
+w ԝ
 - ‐ ‑ ‒ – − ﹘ ⁃ ˗
 ' ’ ‘ ʼ ʹ ′ ׳ ‛
 " ” “ ״ ˮ ″ ׳׳ '' ’’ ‟
@@ -53,10 +71,10 @@ v ν
 יי ײ
 ֹ ֺ
 """
-#: Blocks whose compatibility forms look like what they decompose into: from, to.
-COMPATIBLE_BLOCKS = ((0x2100, 0x214F), (0x1D400, 0x1D7FF), (0xFB00, 0xFB4F), (0xFF01, 0xFFEF))
-#: Kinds of compatibility decomposition that keep the look (not superscripts, fractions and the like).
-COMPATIBLE_KINDS = ("<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>")
+#: Kinds of compatibility decomposition that keep the look (not superscripts, circles, fractions and the like).
+COMPATIBLE_KINDS = ("<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
+#: Characters of these kinds that look different all the same: the long s, alone and in ligatures, and Greek symbol variants.
+UNLIKE = {0x17F, 0x1E9B, 0xFB05, *range(0x3D0, 0x400)}
 #: Invisible beside those of category Cf: combining grapheme joiner, variation selectors, Hangul fillers, Mongolian separators.
 INVISIBLE = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10))
 
@@ -69,16 +87,15 @@ def _canonical(text: str) -> str:
 
 
 def seed_pairs() -> Iterator[tuple[str, str]]:
-    """All look-alike pairs: the fixed ones, and single characters with what they decompose into."""
+    """All look-alike pairs: the fixed ones, and every character of Unicode that decomposes into ones of the same look."""
     for line in LOOK_ALIKES.split("\n"):
         first, *others = line.split() or [""]
         for x in others:
             yield first, x
-    for lo, hi in COMPATIBLE_BLOCKS:
-        for c in range(lo, hi + 1):
-            kind = unicodedata.decomposition(chr(c)).split(" ")[0]
+    for c in set(range(sys.maxunicode + 1)) - UNLIKE:
+        if (given := unicodedata.decomposition(chr(c))) and given.split(" ")[0] in COMPATIBLE_KINDS:
             plain = unicodedata.normalize("NFKD", chr(c))
-            if kind in COMPATIBLE_KINDS and plain != chr(c) and not plain.startswith(" "):
+            if plain != chr(c) and not plain.startswith(" "):
                 yield plain, chr(c)
 
 

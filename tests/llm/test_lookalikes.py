@@ -43,3 +43,13 @@ def test_quotes_on_the_page(spark, rows):
 def test_no_notes(spark):
     segments = spark.createDataFrame([("p", 0, "א")], "ref string, seg_idx int, hebrew string")
     assert la.quoted_segments(spark.createDataFrame([], "note_id bigint, page_ref string, hebrew_boundary_markers array<string>"), segments).count() == 0
+
+
+def test_pairs_that_look_the_same_become_equal():
+    from spanloom.llm import lookalikes
+
+    one_form = lookalikes.Normalizer(lookalikes.representatives({}, lookalikes.classes(lookalikes.seed_pairs())))
+    for a, b in [("Ⅳ", "IV"), ("…", "..."), ("ǆ", "dž"), ("ĳ", "ij"), ("ԁ", "d"), ("ɡ", "g"), ("ꓮ", "A"), ("Ꭺ", "A"), ("ﬁ", "fi"), ("⑴", "(1)"), ("ﻼ", "لا"), ("⼀", "一")]:
+        assert one_form(a) == one_form(b), (a, b)
+    for a, b in [("ſ", "s"), ("ϲ", "ς"), ("x²", "x2"), ("①", "1"), ("½", "1/2"), ("O", "0"), ("l", "1")]:
+        assert one_form(a) != one_form(b), (a, b)
