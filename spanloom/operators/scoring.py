@@ -34,19 +34,6 @@ def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
     return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2)).select(by, F.col(value).alias("median"))
 
 
-def decide(df: DataFrame, rules: list[tuple[str, dict[str, str]]], default: str, unsure: str = "unsure") -> Column:
-    """The verdict of the first rule whose needs are met; a rule that hangs on an ``unsure`` answer stops the table there.
-
-    Each rule is (verdict, {feature: answer}).
-    """
-    out = None
-    for verdict, needs in rules:
-        met = reduce(lambda a, b: a & b, (F.col(f) == v for f, v in needs.items()))
-        open_ = reduce(lambda a, b: a & b, (F.col(f).isin(v, unsure) for f, v in needs.items()))
-        out = (F.when(met, verdict) if out is None else out.when(met, verdict)).when(open_, unsure)
-    return out.otherwise(default)
-
-
 def follow_pointers(pointers: DataFrame, key: str, to: str) -> DataFrame:
     """``(key, target)``: where each chain of pointers ends; null for chains that run in a circle or to a key that doesn't exist.
 

@@ -67,10 +67,10 @@ def exact_else_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame
     return pairs.withColumn("exact", same).withColumn("_has", has).where(F.col("exact") | ~F.col("_has")).drop("_has")
 
 
-def greedy_match(golden: DataFrame, found: DataFrame, least: float = 0.3) -> DataFrame:
-    """``(ref, g_id, f_id, iou)``: each golden span in (lo, hi, id) order takes the unused found span with the largest IoU.
+def greedy_match(golden: DataFrame, found: DataFrame, least: float = 0.3, order: tuple[str, ...] = ("lo", "hi", "id")) -> DataFrame:
+    """``(ref, g_id, f_id, iou)``: each golden span in ``order`` takes the unused found span with the largest IoU.
 
-    The first in (lo, hi, id) order wins a tie; below ``least`` nothing is taken. Sequential within a page by definition, and
+    The first in ``order`` wins a tie; below ``least`` nothing is taken. Sequential within a page by definition, and
     grouped by page.
     """
 
@@ -104,8 +104,8 @@ def greedy_match(golden: DataFrame, found: DataFrame, least: float = 0.3) -> Dat
         kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=k) for i, k in enumerate(kinds)], ["ref", "g_id", "f_id", "iou"])
 
-    pick = lambda df, side: df.where("lo <= hi and ref is not null").select("ref", "id", "lo", "hi", F.lit(side).alias("side"))
-    rows = pick(golden, 0).unionByName(pick(found, 1)).repartition("ref").sortWithinPartitions("ref", "side", "lo", "hi", "id")
+    pick = lambda df, side: df.where("lo <= hi and ref is not null").select("ref", "lo", "hi", F.lit(side).alias("side"), *(c for c in dict.fromkeys((*order, "id")) if c not in ("lo", "hi")))
+    rows = pick(golden, 0).unionByName(pick(found, 1)).repartition("ref").sortWithinPartitions("ref", "side", *order)
     return rows.mapInArrow(run, "ref string, g_id string, f_id string, iou double")
 
 
@@ -133,14 +133,21 @@ def clashes(spans: DataFrame) -> DataFrame:
 def label_trim(spans: DataFrame, labels: DataFrame, key: str, filler: str, needs: str) -> DataFrame:
     """Spans without ``filler`` segments at their edges, applied only if a ``needs`` segment is left; the rest stay as they are.
 
-    ``labels`` has ``ref, seg, label``; the result has ``new_lo`` and ``new_hi``.
+    ``labels`` has ``ref, seg, label`` and may have ``ruling`` and ``names``: a segment with a ruling that names someone whom the span
+    names too (``names`` of ``spans``) stays at the end. Spans for which a boolean column ``exempt`` of theirs is true are left alone. An
+    end beyond the page's labels stays. The result has ``new_lo`` and ``new_hi``.
     """
-    seen = spans.select(key, "ref", "lo", "hi").join(labels.select("ref", "seg", "label"), "ref").where("seg between lo and hi")
+    ruled = "ruling" in labels.columns and "names" in spans.columns
+    told = spans.select(key, "ref", "lo", "hi", *([F.col("names").alias("_names")] if ruled else []))
+    ends = labels.groupBy("ref").agg(F.max("seg").alias("_end"))
+    seen = told.join(labels.select("ref", "seg", "label", *(["ruling", "names"] if ruled else [])), "ref").where("seg between lo and hi")
     solid = F.when(F.col("label") != filler, F.col("seg"))
-    cut = seen.groupBy(key).agg(F.min(solid).alias("_lo"), F.max(solid).alias("_hi"), F.max(F.col("label") == needs).alias("_ok"))
-    df = spans.join(cut, key, "left")
-    keep = F.coalesce(F.col("_ok"), F.lit(False))
-    return df.withColumn("new_lo", F.when(keep, F.col("_lo")).otherwise(F.col("lo"))).withColumn("new_hi", F.when(keep, F.col("_hi")).otherwise(F.col("hi"))).drop("_lo", "_hi", "_ok")
+    stays = F.when((F.col("label") != filler) | (F.coalesce(F.col("ruling") & F.arrays_overlap("names", "_names"), F.lit(False)) if ruled else F.lit(False)), F.col("seg"))
+    cut = seen.groupBy(key).agg(F.min(solid).alias("_lo"), F.max(stays).alias("_hi"), F.max(F.col("label") == needs).alias("_ok"))
+    df = spans.join(cut, key, "left").join(ends, "ref", "left")
+    keep = F.coalesce(F.col("_ok"), F.lit(False)) & (~F.coalesce("exempt", F.lit(False)) if "exempt" in spans.columns else F.lit(True))
+    hi = F.when(F.col("hi") > F.col("_end"), F.col("hi")).otherwise(F.col("_hi"))
+    return df.withColumn("new_lo", F.when(keep, F.col("_lo")).otherwise(F.col("lo"))).withColumn("new_hi", F.when(keep, hi).otherwise(F.col("hi"))).drop("_lo", "_hi", "_ok", "_end")
 
 
 def snap_starts(spans: DataFrame, opens: DataFrame, key: str, reach: int = 3) -> DataFrame:
@@ -154,11 +161,13 @@ def snap_starts(spans: DataFrame, opens: DataFrame, key: str, reach: int = 3) ->
 
 
 def trim_ends(spans: DataFrame, marked: DataFrame, key: str) -> DataFrame:
-    """``new_hi``: the end without trailing marked segments while more than two are left. ``marked`` has ``ref, seg``."""
+    """``new_hi``: the end without trailing marked segments while more than two are left. ``marked`` has ``ref, seg``. Spans for which a
+    boolean column ``exempt`` of theirs is true, as those that go on on the next page, are left alone."""
     own = cells(spans.select(key, "ref", "lo", "hi"))
     tail = own.join(marked.select("ref", "seg").distinct().withColumn("_m", F.lit(True)), ["ref", "seg"], "left")
     last = tail.groupBy(key).agg(F.max(F.when(F.col("_m").isNull() | (F.col("seg") <= F.col("lo") + 1), F.col("seg"))).alias("_hi"))
-    return spans.join(last, key, "left").withColumn("new_hi", F.coalesce("_hi", "hi")).drop("_hi")
+    kept = F.when(F.coalesce("exempt", F.lit(False)), F.col("hi")) if "exempt" in spans.columns else F.lit(None).cast("int")
+    return spans.join(last, key, "left").withColumn("new_hi", F.coalesce(kept, "_hi", "hi")).drop("_hi")
 
 
 def section_state(marks: DataFrame, opener: str, closer: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import label_queries, passage_queries, problems, publish_queries, score_queries, span_queries, text_queries
+from spanloom.plans import eval_queries, label_queries, passage_queries, problems, publish_queries, score_queries, span_queries, text_queries
 
-_MODULES = [problems, span_queries, text_queries, score_queries, passage_queries, publish_queries, label_queries]
+_MODULES = [problems, eval_queries, span_queries, text_queries, score_queries, passage_queries, publish_queries, label_queries]
 
 
 def queries() -> dict:

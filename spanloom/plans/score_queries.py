@@ -134,16 +134,6 @@ def pointer_targets(spark: SparkSession, d: str) -> DataFrame:
     return scoring.follow_pointers(s.select("id", to.alias("to")), "id", "to")
 
 
-RULES = [("story", {"reads_yes": "yes", "listed": "yes"}), ("not", {"reads_yes": "no", "listed": "no"}), ("borderline", {"listed": "yes"})]
-
-
-def decision_table(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "ruler_entries").dropDuplicates(["entry_id"])
-    yes = F.exists(F.coalesce("verdicts", F.expr("array()").cast("array<struct<round:string,reviewer:string,read_as:string,note:string>>")), lambda v: F.lower(F.trim(v["read_as"])) == "yes")
-    df = e.select("entry_id", F.when(F.coalesce(F.size("verdicts"), F.lit(0)) <= 0, "unsure").when(yes, "yes").otherwise("no").alias("reads_yes"), F.when(F.col("expert_listed"), "yes").otherwise("no").alias("listed"))
-    return df.select("entry_id", scoring.decide(df, RULES, "out_of_scope").alias("verdict"))
-
-
 def edge_scores(spark: SparkSession, d: str) -> DataFrame:
     """How the starts that boundary notes name meet the stories over them."""
     notes = read(spark, d, "boundary_notes").where("page_ref is not null and start_segment is not null").groupBy("note_id").agg(F.min("page_ref").alias("ref"), F.min("start_segment").alias("lo"), F.max(F.coalesce("end_segment", "start_segment")).alias("hi"))
@@ -156,7 +146,7 @@ def bootstrap_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [edge_scores, bootstrap_share, label_confusion, wilson_by_judge, judge_agreement, judge_stability, boundary_stats, density_buckets, recall_funnel, gate_text, completeness, additive_guard, stratified_sample, batches, weekly_buckets, last_active_week, ledger_insert, dedupe_counts, pointer_targets, decision_table]
+    fs = [edge_scores, bootstrap_share, label_confusion, wilson_by_judge, judge_agreement, judge_stability, boundary_stats, density_buckets, recall_funnel, gate_text, completeness, additive_guard, stratified_sample, batches, weekly_buckets, last_active_week, ledger_insert, dedupe_counts, pointer_targets]
     return {f.__name__: f for f in fs}
 
 
@@ -205,6 +195,4 @@ SELECT note_id, CASE WHEN f IS NULL THEN 'NONE' WHEN abs(f - lo) = 0 THEN 'HIT'
         + """, p AS (SELECT id, CASE WHEN lead(lo) OVER w <= hi THEN lead(id) OVER w END AS t FROM good WINDOW w AS (PARTITION BY ref ORDER BY lo, hi, id)),
 walk AS (SELECT id, id AS spot FROM p UNION ALL SELECT walk.id, p.t FROM walk JOIN p ON p.id = walk.spot WHERE p.t IS NOT NULL)
 SELECT walk.id, spot AS target FROM walk JOIN p ON p.id = walk.spot WHERE p.t IS NULL""",
-        "decision_table": "WITH " + entry + """, f AS (SELECT entry_id, CASE WHEN coalesce(len(verdicts), 0) = 0 THEN 'unsure' WHEN coalesce(len(list_filter(verdicts, lambda v: lower(trim(v.read_as, ' ')) = 'yes')), 0) > 0 THEN 'yes' ELSE 'no' END AS r, CASE WHEN expert_listed THEN 'yes' ELSE 'no' END AS l FROM e)
-SELECT entry_id, CASE WHEN r = 'yes' AND l = 'yes' THEN 'story' WHEN r IN ('yes', 'unsure') AND l IN ('yes', 'unsure') THEN 'unsure' WHEN r = 'no' AND l = 'no' THEN 'not' WHEN r IN ('no', 'unsure') AND l IN ('no', 'unsure') THEN 'unsure' WHEN l = 'yes' THEN 'borderline' ELSE 'out_of_scope' END AS verdict FROM f""",
     }
