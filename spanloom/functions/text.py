@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,3 +132,134 @@ def kept_offsets(c: Column, dropped: str) -> Column:
     """Places (from 0) in the original of the characters that are left when those matching ``dropped`` are gone."""
     chars = F.split(c, "")
     return F.filter(F.transform(chars, lambda x, i: F.when((x != "") & ~x.rlike(dropped), i)), F.isnotnull)
+
+
+# --- boundaries, markers and names ------------------------------------------------------------------------------------
+
+
+def sentences(c: Column) -> Column:
+    """Sentences of the text without tags and with single blanks; blank ones are dropped."""
+    return F.filter(F.split(collapse(strip_html(c)), r"(?<=[.?!])\s+"), lambda x: F.trim(x) != "")
+
+
+def at_word_edge(c: Column, pos: Column) -> Column:
+    """Whether a cut before character ``pos`` (from 0) falls between words: a blank or a stop on either side, or an end of the text."""
+    stop = r"[\s.:?!,״׳()\[\]–—]"
+    here = lambda p: F.substring(c, p, F.lit(1)).rlike(stop)
+    return (pos <= 0) | (pos >= F.length(c)) | here(pos) | here(pos + 1)
+
+
+LETTER = "[\\u05D0-\\u05EA]"
+
+
+def letter_before(c: Column, pos: Column) -> Column:
+    """Whether a Hebrew letter stands before character ``pos`` (from 0)."""
+    return (pos > 0) & F.substring(c, pos, F.lit(1)).rlike(LETTER)
+
+
+def letter_after(c: Column, pos: Column) -> Column:
+    return (pos < F.length(c)) & F.substring(c, pos + 1, F.lit(1)).rlike(LETTER)
+
+
+def _any_of(words: list[str]) -> str:
+    import re
+
+    return "|".join(re.escape(w) for w in words)
+
+
+def first_marker(c: Column, markers: list[str]) -> Column:
+    """Where (from 0) the first marker stands that begins a word but not the text; null if none."""
+    at = F.regexp_instr(c, F.lit(f"(?<=[^\\u05D0-\\u05EA])(?:{_any_of(markers)})"))
+    return F.when(at > 0, at - 1)
+
+
+def last_marker(c: Column, markers: list[str], after: int = 0) -> Column:
+    """Where (from 0) the last marker stands that is a word of its own beyond character ``after``; null if none."""
+    before = F.regexp_extract(c, f"(?s)^(.*[^\\u05D0-\\u05EA])(?:{_any_of(markers)})(?![\\u05D0-\\u05EA])", 1)
+    return F.when(F.length(before) > after, F.length(before))
+
+
+def begins_with(c: Column, markers: list[str]) -> Column:
+    """Whether the text, without points and leading stops, begins with a marker."""
+    return F.regexp_replace(strip_marks(c), "^[ :,.!?\"\\u201c\\u201d\\u05f4\\u05f3]+", "").rlike(f"^(?:{_any_of(markers)})")
+
+
+def opening_formula(c: Column, formulae: list[str], verbs: list[str]) -> Column:
+    """A clause of eight words at most that begins with a formula, or of four at most that holds one of the verbs."""
+    bare = F.trim(strip_marks(c))
+    n = F.size(F.split(collapse(bare), " "))
+    starts = reduce(lambda a, b: a | b, (bare.startswith(f) for f in formulae))
+    holds = reduce(lambda a, b: a | b, (F.contains(bare, F.lit(v)) for v in verbs)) if verbs else F.lit(False)
+    return (bare != "") & (n <= 8) & (starts | ((n <= 4) & holds))
+
+
+def names_token(c: Column, name: str) -> Column:
+    """Whether ``name`` stands in the text as a word, whatever its case; after a final stop another letter may follow."""
+    import re
+
+    name = name.strip().lower()
+    return F.lower(c).rlike(r"(?<![\p{L}\p{N}_])" + re.escape(name) + (r"(?![\p{L}\p{N}_])" if name[-1].isalnum() else ""))
+
+
+def only_named(c: Column, names: list[str], signals: list[str], generic: list[str]) -> Column:
+    """Whether a list of actors names only people of ``names``: no signal, one name at least, every part a name or generic."""
+    any_of = lambda x, words: reduce(lambda a, b: a | b, (names_token(x, w) for w in words))
+    parts = F.filter(F.transform(F.split(F.lower(c), r"[,;]| and "), lambda p: F.trim(p)), lambda p: p != "")
+    fits = lambda p: any_of(p, names) | reduce(lambda a, b: a | b, (F.contains(p, F.lit(g)) for g in generic))
+    return F.coalesce(~any_of(c, signals) & any_of(c, names) & F.forall(parts, fits), F.lit(False))
+
+
+def person_names(c: Column) -> Column:
+    """Titled names in order of their patterns, each once."""
+    patterns = [r"(?:Rabbi|Rav|Rabban|Mar|Elder)\s+[A-Z][a-z]+(?:\s+(?:bar|ben|son of)\s+[A-Z][a-z]+)?", r"(?:Rabbi|Rav)\s+[A-Z][a-z]+\s+[A-Z][a-z]+"]
+    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), 0) for p in patterns))))
+
+
+def marker_categories(c: Column, categories: dict[str, list[str]]) -> Column:
+    """For each category the markers that the text holds, as a struct of arrays."""
+    return F.struct(*(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(c, w)).alias(k) for k, words in categories.items()))
+
+
+def disqualifiers(hebrew: Column, english: Column, rules: dict[str, tuple[list[str], list[str]]]) -> Column:
+    """For each rule its first Hebrew and its first English marker that is there, as ``array<struct<type, marker, language>>``."""
+    def first(c: Column, words: list[str], kind: str, language: str) -> Column:
+        hit = F.get(F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(c, w)), F.lit(0))
+        return F.when(hit.isNotNull(), F.struct(F.lit(kind).alias("type"), hit.alias("marker"), F.lit(language).alias("language")))
+
+    return F.array_compact(F.array(*(x for k, (h, e) in rules.items() for x in (first(hebrew, h, k, "hebrew"), first(F.lower(english), [w.lower() for w in e], k, "english")))))
+
+
+def answer_list(c: Column) -> Column:
+    """The objects of a model's answer, as JSON texts: of a list, of ``{"stories": [...]}``, or of that in a list; empty if it is none."""
+    v = F.try_parse_json(lenient_answer(c))
+    of = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    wrapped = F.try_variant_get(v, "$.stories", "array<variant>")
+    inner = F.try_variant_get(v, "$[0].stories", "array<variant>")
+    found = F.when((F.size(of(v)) == 1) & inner.isNotNull(), inner).when(of(v).isNotNull(), of(v)).otherwise(wrapped)
+    return F.coalesce(F.transform(found, lambda x: F.to_json(x)), F.array().cast("array<string>"))
+
+
+def lenient_answer(c: Column) -> Column:
+    """The outermost object or list in a model's answer, without code fences and trailing commas."""
+    return F.regexp_replace(F.regexp_extract(c, r"(?s)[\[{].*[\]}]", 0), r",\s*([}\]])", "$1")
+
+
+def numbered_lines(items: Column) -> Column:
+    """Items as lines ``[0] first``, ``[1] second``, as prompts show them."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), x)), "\n")
+
+
+def pick_summary(*fields: Column, events: Column, limit: int = 400) -> Column:
+    """The first field that isn't empty, else the events joined, else a constant; cut to ``limit``."""
+    own = F.coalesce(*(F.nullif(f, F.lit("")) for f in fields), F.nullif(F.array_join(events, "; "), F.lit("")), F.lit("(no summary available)"))
+    return F.substring(own, 1, limit)
+
+
+def needs_validation(classification: Column, weakeners: Column, events: Column) -> Column:
+    """Whether a call should be looked at again: a sure one with a weakener of law or speech, two weakeners or one event at most; a
+    doubtful one with one event at most or such a weakener; never one that is called none."""
+    legal = F.exists(weakeners, lambda w: F.lower(w).rlike("legal|embedded|speech|verbal"))
+    spoken = F.exists(weakeners, lambda w: F.lower(w).rlike("legal|speech|verbal"))
+    few = F.coalesce(events, F.lit(0)) <= 1
+    n = F.coalesce(F.size(weakeners), F.lit(0))
+    return F.when(classification.isin("YES", "HIGH_CONFIDENCE"), F.coalesce(legal, F.lit(False)) | (n >= 2) | few).when(classification == "LOW_CONFIDENCE", few | F.coalesce(spoken, F.lit(False))).otherwise(False)
