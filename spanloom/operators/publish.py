@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.spans import cells
@@ -13,70 +13,38 @@ from spanloom.runtime import materialize
 
 
 def assign_ids(stories: DataFrame, registry: DataFrame) -> DataFrame:
-    """``(story, id, how)``: each story takes the free registered id with which it shares most cells, one id per story.
-
-    ``stories`` has ``story, ref, lo, hi``; ``registry`` has ``id, ref, lo, hi``. In every round each story and each id name their
-    best free partner (most cells, then the least story, then the least id), and pairs that name each other are taken: the
-    same result as taking pairs one by one in that order, in a few parallel rounds. Stories without a partner get a new id
-    (how = 'minted'): their own name with the version 2 or the next one free.
+    """``(story, id, how)``: what becomes of every story and every id that was in use.
+
+    ``stories`` has ``story, ref, lo, hi``; ``registry`` has ``id, ref, lo, hi`` and may have ``status`` ('active', the default, or 'retired').
+    Pairs are taken from those that share most cells down, one story per id, active ids first ('kept'), then retired ones
+    ('revived'). Where a free story or id has several free partners with equally many cells the match is ambiguous: those stories
+    are refused (null id), and so are the ids, until someone decides. Other stories get a new id ('minted'): their own name, or its
+    next free version. Active ids that no story took lead to the id of the story that they share most cells with ('redirected', with
+    that story), or are 'retired'. One pass for each number of shared cells, which is bounded by the longest span.
     """
-    a, b = cells(stories).select("story", "ref", "seg").distinct(), cells(registry).select("id", "ref", "seg").distinct()
-    pairs = materialize(a.join(b, ["ref", "seg"]).groupBy("story", "id").agg(F.count("*").alias("shared")))
-    taken = None
-    while not pairs.isEmpty():
-        best_id = pairs.groupBy("story").agg(F.min(F.struct((-F.col("shared")).alias("s"), "id")).alias("b")).select("story", F.col("b.id").alias("id"))
-        best_story = pairs.groupBy("id").agg(F.min(F.struct((-F.col("shared")).alias("s"), "story")).alias("b")).select("id", F.col("b.story").alias("story"))
-        both = materialize(best_id.join(best_story, ["story", "id"]))
-        taken = both if taken is None else materialize(taken.unionByName(both))
-        pairs = materialize(pairs.join(both.select("story"), "story", "left_anti").join(both.select("id"), "id", "left_anti"))
-    kept = (taken if taken is not None else pairs.select("story", "id")).withColumn("how", F.lit("kept"))
-    fresh = stories.select("story").distinct().join(kept, "story", "left_anti")
-    # a minted id may collide with a registered one: it gets the next version
-    held = registry.select(F.regexp_extract("id", r"^(.*?)(?:-v(\d+))?$", 1).alias("stem"), F.coalesce(F.regexp_extract("id", r"-v(\d+)$", 1).try_cast("int"), F.lit(1)).alias("v")).groupBy("stem").agg(F.max("v").alias("v"))
+    status = F.col("status") if "status" in registry.columns else F.lit("active")
+    known = registry.withColumn("_pool", F.when(status == "retired", 1).otherwise(0))
+    a, b = cells(stories).select("story", "ref", "seg").distinct(), cells(known).select("id", "_pool", "ref", "seg").distinct()
+    pairs = materialize(a.join(b, ["ref", "seg"]).groupBy("_pool", "story", "id").agg(F.count("*").alias("n")))
+    used = None
+    for level in sorted(pairs.select("_pool", "n").distinct().collect(), key=lambda r: (r["_pool"], -r["n"])):
+        here = pairs.where((F.col("_pool") == level["_pool"]) & (F.col("n") == level["n"]))
+        if used is not None:
+            here = here.join(used.select("story").distinct(), "story", "left_anti").join(used.select("id").distinct(), "id", "left_anti")
+        rivals = F.greatest(F.count("*").over(Window.partitionBy("story")), F.count("*").over(Window.partitionBy("id")))
+        now = here.select("story", "id", F.when(rivals > 1, "refused").otherwise("revived" if level["_pool"] else "kept").alias("how"))
+        used = materialize(now if used is None else used.unionByName(now))
+    if used is None:
+        used = pairs.select("story", "id", F.lit("").alias("how"))
+    held = known.select(F.regexp_extract("id", r"^(.*?)(?:-v(\d+))?$", 1).alias("stem"), F.coalesce(F.regexp_extract("id", r"-v(\d+)$", 1).try_cast("int"), F.lit(1)).alias("v")).groupBy("stem").agg(F.max("v").alias("v"))
+    fresh = stories.select("story").distinct().join(used.select("story").distinct(), "story", "left_anti")
     minted = fresh.join(held, fresh["story"] == held["stem"], "left").select("story", F.when(F.col("v").isNull(), F.col("story")).otherwise(F.concat("story", F.lit("-v"), F.col("v") + 1)).alias("id"), F.lit("minted").alias("how"))
-    return kept.select("story", "id", "how").unionByName(minted)
-
-
-def fold_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(id, merged_into)``: stories that go on over a page break, folded from page to page in order.
-
-    ``stories`` has ``corpus, page_seq, id, lo, hi, to_next, from_prev``; ``pages`` has ``corpus, page_seq, last``. On each break
-    the last story (by hi, lo, id) of the earlier page and the first (by lo, hi, id) of the later one are one story if either
-    is flagged to run over it and the earlier ends on its page's last segment or the later begins on segment 0. A story that
-    is merged is gone from its page, which may change the next break: the fold is sequential within a corpus by definition;
-    only what it needs of each page, its first, its last and their flags, is brought together, in one sorted stream.
-    This is a loose rule by flags alone; ``fold_stories`` has the reference's cases.
-    """
-    df = stories.join(pages.select("corpus", "page_seq", "last"), ["corpus", "page_seq"]).where("lo <= hi")
-    df = df.select("corpus", "page_seq", "id", "lo", "hi", "last", F.coalesce("to_next", F.lit(False)).alias("to_next"), F.coalesce("from_prev", F.lit(False)).alias("from_prev"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page: list[dict] = []
-        before: list[dict] = []
-
-        def fold(out: list[tuple]) -> None:
-            """Between ``before`` and ``page``, if they are neighbours."""
-            if before and page and before[0]["corpus"] == page[0]["corpus"] and before[0]["page_seq"] + 1 == page[0]["page_seq"]:
-                a, b = max(before, key=lambda r: (r["hi"], r["lo"], r["id"])), min(page, key=lambda r: (r["lo"], r["hi"], r["id"]))
-                if (a["to_next"] or b["from_prev"]) and (a["hi"] >= a["last"] or b["lo"] == 0):
-                    out.append((b["id"], a.get("root", a["id"])))
-                    page.remove(b)
-                    if b["to_next"] and not page:  # the merged story itself runs on
-                        page.append(b | {"root": a.get("root", a["id"])})
-
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                if page and (r["corpus"], r["page_seq"]) != (page[0]["corpus"], page[0]["page_seq"]):
-                    fold(out)
-                    before, page = page, []
-                page.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=pa.string()) for i in (0, 1)], ["id", "merged_into"])
-        out = []
-        fold(out)
-        yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=pa.string()) for i in (0, 1)], ["id", "merged_into"])
-
-    return df.repartition("corpus").sortWithinPartitions("corpus", "page_seq", "lo", "hi", "id").mapInArrow(run, "id string, merged_into string")
+    taken = used.where("how <> 'refused'")
+    refused = used.where("how = 'refused'").select("story", F.lit(None).cast("string").alias("id"), "how").distinct()
+    free = known.where("_pool = 0").select("id").distinct().join(used.select("id").distinct(), "id", "left_anti")
+    most = pairs.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "story")).alias("b")).select("id", F.col("b.story").alias("story"))
+    left = free.join(most, "id", "left").select("story", "id", F.when(F.col("story").isNull(), "retired").otherwise("redirected").alias("how"))
+    return taken.unionByName(refused).unionByName(minted).unionByName(left)
 
 
 def fold_stories(stories: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import eval_queries, label_queries, marker_queries, passage_queries, problems, publish_queries, score_queries, span_queries, text_queries
+from spanloom.plans import claim_queries, eval_queries, label_queries, marker_queries, passage_queries, problems, publish_queries, score_queries, span_queries, text_queries
 
-_MODULES = [problems, eval_queries, marker_queries, span_queries, text_queries, score_queries, passage_queries, publish_queries, label_queries]
+_MODULES = [problems, eval_queries, claim_queries, marker_queries, span_queries, text_queries, score_queries, passage_queries, publish_queries, label_queries]
 
 
 def queries() -> dict:

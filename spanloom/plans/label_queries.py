@@ -62,14 +62,14 @@ def agreed_cells(spark: SparkSession, d: str) -> DataFrame:
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
     """Calls and tokens of raw runs by version and model, of documents that are one object."""
     part = lambda p: F.get_json_object("doc", p)
-    df = read(spark, d, "run_records").where("doc like '{%'").select(part("$.version").alias("version"), part("$.run_meta.model").alias("model"), *(part(f"$.run_meta.tokens.stage2.{k}").try_cast("bigint").alias(k) for k in ("calls", "input", "output")))
+    df = read(spark, d, "run_records").where("ltrim(doc) like '{%'").select(part("$.version").alias("version"), part("$.run_meta.model").alias("model"), *(part(f"$.run_meta.tokens.stage2.{k}").try_cast("bigint").alias(k) for k in ("calls", "input", "output")))
     return df.where("model is not null and calls is not null").groupBy("version", "model").agg(F.count("*").alias("runs"), *(F.sum(k).alias(k) for k in ("calls", "input", "output")))
 
 
 def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of verdicts, commonest first within each judge."""
     n = read(spark, d, "judge_answers").where("verdict is not null").groupBy("judge", "verdict").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("judge").orderBy(F.desc("n"), "verdict"))).where("place <= 5")
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("judge").orderBy(F.desc("n"), "verdict")))
 
 
 def queries() -> dict:
@@ -91,8 +91,8 @@ SELECT id, ref, 'main' AS source FROM story WHERE ref IS NOT NULL AND ref NOT IN
         + """, a AS (SELECT DISTINCT corpus, ref, unnest(range(lo, hi + 1)) AS seg FROM good), b AS (SELECT DISTINCT corpus, ref, unnest(range(lo, hi + 1)) AS seg FROM mgood),
 j AS (SELECT coalesce(a.corpus, b.corpus) AS corpus, a.ref IS NOT NULL AS x, b.ref IS NOT NULL AS y FROM a FULL JOIN b ON a.corpus = b.corpus AND a.ref = b.ref AND a.seg = b.seg)
 SELECT corpus, count(*) FILTER (x) AS main, count(*) FILTER (y) AS mirror, count(*) FILTER (x AND y) AS agreed FROM j GROUP BY corpus""",
-        "run_counters": """WITH j AS (SELECT CASE WHEN json_valid(doc) THEN doc END AS doc FROM run_records WHERE doc LIKE '{%'),
+        "run_counters": """WITH j AS (SELECT CASE WHEN json_valid(doc) THEN doc END AS doc FROM run_records WHERE ltrim(doc) LIKE '{%'),
 p AS (SELECT doc ->> '$.version' AS version, doc ->> '$.run_meta.model' AS model, try_cast(doc ->> '$.run_meta.tokens.stage2.calls' AS bigint) AS calls, try_cast(doc ->> '$.run_meta.tokens.stage2.input' AS bigint) AS input, try_cast(doc ->> '$.run_meta.tokens.stage2.output' AS bigint) AS output FROM j)
 SELECT version, model, count(*) AS runs, sum(calls)::bigint AS calls, sum(input)::bigint AS input, sum(output)::bigint AS output FROM p WHERE model IS NOT NULL AND calls IS NOT NULL GROUP BY ALL""",
-        "verdict_counts": "WITH n AS (SELECT judge, verdict, count(*) AS n FROM judge_answers WHERE verdict IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY judge ORDER BY n DESC, verdict) AS place FROM n) SELECT * FROM k WHERE place <= 5",
+        "verdict_counts": "WITH n AS (SELECT judge, verdict, count(*) AS n FROM judge_answers WHERE verdict IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY judge ORDER BY n DESC, verdict) AS place FROM n) SELECT * FROM k",
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import publish
 from spanloom.plans import base
-from spanloom.plans.base import GOOD, SEG, STORY, with_
+from spanloom.plans.base import GOOD, MGOOD, MIRROR, SEG, STORY, with_
 from spanloom.runtime import read
 from spanloom.streaming import ledger
 
@@ -22,9 +22,10 @@ def _replay(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def permanent_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The mirror's stories take over the ids of the main copy where they share cells."""
+    """The mirror's stories take over the ids of the main copy where they share cells; ids of stories called none are retired ones."""
     new = _good(spark, d, "stories_mirror").select(F.concat(F.lit("new-"), "id").alias("story"), "ref", "lo", "hi")
-    return publish.assign_ids(new, _good(spark, d).select("id", "ref", "lo", "hi"))
+    status = F.when(F.upper(F.trim("classification")) == "NOT_A_STORY", "retired").otherwise("active")
+    return publish.assign_ids(new, _good(spark, d, "stories_main", "classification").select("id", "ref", "lo", "hi", status.alias("status")))
 
 
 def page_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +81,18 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     k = r"regexp_extract(id, '(\d+)$', 1)::int % 10"
+    status = "CASE WHEN upper(trim(classification, ' ')) = 'NOT_A_STORY' THEN 1 ELSE 0 END"
+    ids = f"""WITH RECURSIVE {STORY}, {MIRROR}, {GOOD}, {MGOOD}, pc AS (SELECT 'new-' || a.id AS story, b.id, b.pool, count(*) AS n FROM (SELECT id, ref, unnest(range(lo, hi + 1)) AS seg FROM mgood) a JOIN (SELECT id, {status} AS pool, ref, unnest(range(lo, hi + 1)) AS seg FROM good) b ON a.ref = b.ref AND a.seg = b.seg GROUP BY ALL),
+lv AS (SELECT pool, n, row_number() OVER (ORDER BY pool, n DESC) AS l FROM (SELECT DISTINCT pool, n FROM pc)),
+w AS (SELECT 0::bigint AS l, []::varchar[] AS us, []::varchar[] AS ui, []::struct(story varchar, id varchar, how varchar)[] AS res
+  UNION ALL SELECT l, list_concat(us, coalesce(list(story) FILTER (story IS NOT NULL), [])), list_concat(ui, coalesce(list(id) FILTER (id IS NOT NULL), [])), list_concat(res, coalesce(list({{'story': story, 'id': id, 'how': how}}) FILTER (story IS NOT NULL), []))
+  FROM (SELECT x.l, x.us, x.ui, x.res, x.story, x.id, CASE WHEN greatest(count(*) OVER (PARTITION BY x.story), count(*) OVER (PARTITION BY x.id)) > 1 THEN 'refused' WHEN x.pool = 1 THEN 'revived' ELSE 'kept' END AS how FROM (SELECT w.l + 1 AS l, w.us, w.ui, w.res, pc.story, pc.id, lv.pool FROM w JOIN lv ON lv.l = w.l + 1 LEFT JOIN pc ON pc.pool = lv.pool AND pc.n = lv.n AND NOT list_contains(w.us, pc.story) AND NOT list_contains(w.ui, pc.id)) x) GROUP BY l, us, ui, res),
+used AS (SELECT u.story AS story, u.id AS id, u.how AS how FROM (SELECT unnest(res) AS u FROM (SELECT res FROM w ORDER BY l DESC LIMIT 1)))
+SELECT story, id, how FROM used WHERE how <> 'refused' UNION ALL SELECT DISTINCT story, NULL, how FROM used WHERE how = 'refused'
+UNION ALL SELECT 'new-' || id, 'new-' || id, 'minted' FROM mgood WHERE 'new-' || id NOT IN (SELECT story FROM used)
+UNION ALL SELECT m.story, g.id, CASE WHEN m.story IS NULL THEN 'retired' ELSE 'redirected' END FROM (SELECT id FROM good WHERE {status} = 0 AND id NOT IN (SELECT id FROM used)) g LEFT JOIN (SELECT id, arg_min(story, (-n, story)) AS story FROM pc GROUP BY id) m USING (id)"""
     return {
+        "permanent_ids": ids,
         "corrected_spans": with_(STORY, GOOD) + f"SELECT id, ref, CASE WHEN {k} = 2 THEN lo - 1 ELSE lo END AS lo, CASE WHEN {k} = 1 THEN hi - 1 ELSE hi END AS hi, CASE WHEN {k} = 3 THEN 'NOT_A_STORY' ELSE classification END AS classification FROM good WHERE {k} <> 4",
         "display_spans": with_(SEG, STORY, GOOD) + ", p AS (SELECT corpus, ref, seg_idx, pos FROM seg WHERE pos IS NOT NULL), e AS (SELECT corpus, min(pos) AS a, max(pos) AS z FROM p GROUP BY corpus) SELECT g.id, greatest(x.pos - 2, e.a) AS pos_lo, least(y.pos + 6, e.z) AS pos_hi FROM good g JOIN p x ON x.ref = g.ref AND x.seg_idx = g.lo JOIN p y ON y.ref = g.ref AND y.seg_idx = g.hi JOIN e ON e.corpus = x.corpus",
         "page_documents": with_(SEG) + "SELECT ref, count(*)::int AS n FROM seg GROUP BY corpus, ref",

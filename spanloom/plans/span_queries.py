@@ -145,8 +145,13 @@ PAIRS = "pairs AS (SELECT a.id, b.id AS r_id, a.lo, a.hi, b.lo AS r_lo, b.hi AS
 
 
 def oracle_sql() -> dict[str, str]:
+    from spanloom.plans.eval_queries import greedy
+
     both = (STORY, MIRROR, GOOD, MGOOD)
+    parts = " UNION ALL ".join(f"SELECT id, {r} AS ref, {lo} AS lo, {hi} AS hi FROM {t}" for t in ("story", "mirror") for r, lo, hi in (("ref", "lo", "hi"), ("next_ref", "start_segment_page2", "end_segment_page2")))
     return {
+        "span_greedy_match": "WITH RECURSIVE " + ", ".join((*both, "g AS (SELECT ref, id, lo, hi, row_number() OVER (PARTITION BY ref ORDER BY lo, hi, id) AS k FROM good)", "f AS (SELECT ref, id, lo, hi, row_number() OVER (PARTITION BY ref ORDER BY lo, hi, id) AS j FROM mgood)", greedy("m", "g", "f"))) + " SELECT ref, g_id, f_id, round(iou, 6) AS iou FROM m",
+        "span_components": f"WITH RECURSIVE {STORY}, {MIRROR}, p AS (SELECT * FROM ({parts}) WHERE ref IS NOT NULL AND lo <= hi), c AS (SELECT DISTINCT id, ref, unnest(range(lo, hi + 1)) AS seg FROM p), e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM c a JOIN c b ON a.ref = b.ref AND a.seg = b.seg), w AS (SELECT a AS id, a AS seen FROM e UNION SELECT w.id, e.b FROM w JOIN e ON e.a = w.seen) SELECT id, min(seen) AS component FROM w GROUP BY id",
         "span_validate": with_(SEG, PAGE, STORY)
         + """, act AS (SELECT id, lo, hi, last, CASE WHEN lo IS NULL OR hi IS NULL OR last IS NULL THEN 'drop' WHEN hi < lo AND lo BETWEEN 0 AND last THEN 'collapse' WHEN hi < lo OR hi < 0 OR lo > last THEN 'drop' WHEN lo < 0 OR hi > last THEN 'clamp' ELSE 'keep' END AS action FROM story LEFT JOIN page USING (ref))
 SELECT id, action, CASE action WHEN 'drop' THEN NULL WHEN 'clamp' THEN greatest(lo, 0) ELSE lo END AS lo, CASE action WHEN 'drop' THEN NULL WHEN 'collapse' THEN lo WHEN 'clamp' THEN least(hi, last) ELSE hi END AS hi FROM act""",

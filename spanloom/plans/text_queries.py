@@ -114,6 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "hebrew_letters": with_(SEG) + rf"SELECT ref, seg_idx, {letters} AS letters, length(regexp_replace(hebrew, '[\x{{0591}}-\x{{05C7}}]', '', 'g')) AS n_unpointed FROM seg",
         "hebrew_numerals": with_(SEG) + f"SELECT ref, seg_idx, coalesce(list_sum(list_transform(string_split(string_split({letters}, ' ')[1], ''), lambda x: coalesce(MAP {{{values}}}[x], 0))), 0)::int AS value FROM seg WHERE hebrew IS NOT NULL",
         "clause_counts": r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.:?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')) AS n_clauses FROM documents",
+        "clause_ranges": with_(SEG) + r""", p AS (SELECT ref, seg_idx, string_split(regexp_replace(english, '([.:?!])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(2)) AS l FROM seg WHERE english IS NOT NULL), q AS (SELECT ref, seg_idx, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM p), r AS (SELECT ref, seg_idx, i, string_split(x, chr(1))[1] AS t, coalesce(sum(length(replace(x, chr(1), ''))) OVER (PARTITION BY ref, seg_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM q) SELECT ref, seg_idx, row_number() OVER (PARTITION BY ref, seg_idx ORDER BY i) - 1 AS clause, a::bigint AS start, (a + length(t))::bigint AS "end" FROM r WHERE trim(t, ' ') <> ''""",
         "keyword_class": with_(SEG) + f"SELECT corpus, CASE {classes} ELSE 'other' END AS class, count(*) AS n FROM seg GROUP BY ALL",
         "likelihood_band": with_(SEG) + f"SELECT ref, seg_idx, {score} AS score, CASE WHEN {score} >= 30 THEN 'HIGH' WHEN {score} >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM seg",
         "reading_minutes": with_(SEG) + f", w AS (SELECT ref, sum(coalesce({words}, 0))::bigint AS words FROM seg GROUP BY ref) SELECT ref, words, greatest(1, ceil(words / 200))::int AS minutes FROM w",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spanloom.runtime import scratch
 
@@ -66,7 +67,7 @@ def drain(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     if not exists(spark, f"{path}/table"):
         return spark.createDataFrame([], stream.schema)
-    table = spark.read.schema(stream.schema.add("batch", "bigint")).parquet(f"{path}/table")
+    table = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/table")
     if mode == "complete":
         table = table.where(F.col("batch") == table.agg(F.max("batch")).first()[0])
     return table.drop("batch")

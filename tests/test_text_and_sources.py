@@ -67,3 +67,21 @@ def test_ledger_takes_each_key_once(spark, tmp_path):
         ledger.append_once(stream, "k", str(out), str(tmp_path / "cp")).awaitTermination()
     got = sorted(r["k"] for r in spark.read.parquet(str(out)).collect())
     assert got == [1, 2, 3]
+
+
+def test_ledger_by_uri_holds_when_a_stream_starts_anew(spark, tmp_path):
+    out = f"file://{tmp_path}/ledger"
+    for n, ids in enumerate(([1, 2, None], [2, 3], [3])):
+        spark.createDataFrame([(i, "v") for i in ids], "k int, v string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "src" / f"part={n}"))
+    for again in range(2):  # the second stream knows nothing of the first: only the ledger keeps its keys single
+        stream = spark.readStream.schema("k int, v string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+        ledger.append_once(stream, "k", out, str(tmp_path / f"cp{again}")).awaitTermination()
+    assert ledger.exists(spark, out) and not ledger.exists(spark, out + "-none")
+    assert set(r["k"] for r in spark.read.parquet(out).collect()) == {1, 2, 3}
+
+
+def test_drained_streams_are_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema("k int, v string").parquet(str(tmp_path / "src"))
+    assert sorted(tuple(r) for r in ledger.drain(stream.groupBy("v").count(), "complete", str(tmp_path / "t")).collect()) == [("a", 2), ("b", 1)]
+    assert ledger.drain(stream, "append").count() == 3
