@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.runtime import materialize
+from spanloom.runtime import materialize, store
 
 #: Where the public vocabularies lie, and the split pattern that belongs to them (a fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -240,8 +240,13 @@ def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULA
         return short.select("_own.*", "ids")
     own = blocks.where("block = 0").select("_own", "row_key")
     parts = blocks.select("row_key", "block", "blocks", "text").repartition("row_key", "block").mapInArrow(partial(_encode_blocks, vocab), STATE)
-    while most > 1:
+    whole: DataFrame | None = None
+    while most > 1:  # a level shuffles the texts that aren't whole yet, and leaves out those that have become so
         halves = parts.repartition("row_key", F.floor(F.col("block") / 2)).sortWithinPartitions("row_key", "block")
-        parts, most = halves.mapInArrow(partial(_join_level, vocab), STATE), (most + 1) // 2
+        joined, most = store(halves.mapInArrow(partial(_join_level, vocab), STATE)), (most + 1) // 2
+        done = joined.where("blocks = 1").select("row_key", "ids")
+        whole = done if whole is None else whole.unionByName(done)
+        parts = joined.where("blocks > 1")
+    parts = whole if whole is not None else parts
     long = own.join(parts, "row_key").select("_own", "ids")
     return short.unionByName(long.mapInArrow(_repack, f"{schema}, ids binary") if packed else long).select("_own.*", "ids")
