@@ -2,10 +2,10 @@
 
 Each page's words, by script, make a rank-frequency curve: SQL windows rank them by frequency, and a line is fitted to the
 logarithms. Stuffed pages stand out by the residual of the curve's head over the usual curve of the same script at
-comparable lengths (the slope and the residual of a page's own line, which are given too, don't tell stuffing from honest
-talk that keeps coming back to one thing: such pages are as steep); lists stand out by their divergence from prose of the
-same script at comparable lengths: too few of the words that prose can't do without or, where a language has no such words,
-too many separators.
+comparable lengths, or by an extreme slope, steep as few words repeated are or flat as many repeated alike, if prose words
+are few as well (honest talk that keeps coming back to one thing can be as steep); lists stand out by their divergence from
+prose of the same script at comparable lengths: too few of the words that prose can't do without or, where a language has no
+such words, too many separators.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SEPARATORS, CHANCE_SEPARATORS = 0.27, 1.5
 #: Share of the first three ranks of other words from which on a page is stuffed, if that head also lies so far, in natural
 #: logarithms, above the usual curve of its length; and the words below which such a share may be chance.
 HEAD, HEAD_RESIDUAL, HEAD_WORDS = 0.36, 1.0, 20
+#: How far, either way, a page's slope must lie from the usual one of its length to be extreme; it flags where prose words are few too.
+SLOPE = 0.4
 #: Different pages that a length needs for a usual curve of its own.
 POOL = 30
 #: Words that a script's part of a page needs to be judged, and that a page needs in all; words that a link stands for.
@@ -243,7 +245,9 @@ def judge(curves: DataFrame) -> DataFrame:
     thin = worded & (F.col("prose") < PROSE_LEAST * F.col("m_prose"))
     listed = cut_up & (~worded | (F.col("prose") < PROSE_LEAST_CUT_UP * F.col("m_prose")))
     residual = F.log(F.col("head")) - F.log(F.greatest("m_head", F.lit(0.001)))
-    steep = (F.col("head") > HEAD) & (F.col("n") >= HEAD_WORDS) & (residual > HEAD_RESIDUAL)
+    bend = F.col("slope") - F.col("m_slope")
+    extreme = (F.col("n") >= HEAD_WORDS) & F.when(worded, (F.abs(bend) > SLOPE) & (F.col("prose") < PROSE_LEAST_CUT_UP * F.col("m_prose"))).otherwise(bend > SLOPE)
+    steep = extreme | (F.col("head") > HEAD) & (F.col("n") >= HEAD_WORDS) & (residual > HEAD_RESIDUAL)
     why = F.when(F.col("n") < LEAST_PART, F.lit(None)).when(steep, "stuffed").when(thin | listed, "list")
     return seen.withColumn("why", F.when(F.col("script") == "link", "list").otherwise(why))
 
