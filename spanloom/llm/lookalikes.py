@@ -1,8 +1,8 @@
 """One form for text that looks the same but is stored in different characters (problem 6).
 
 Look-alike pairs of code points and strings are closed transitively by union-find. In each class the member that the corpus
-uses most becomes the representative, and every text is rewritten greedily, leftmost and longest first, by an automaton over
-all other members. Invisible characters vanish, blanks become one plain blank, and marks stand in canonical order.
+uses most becomes the representative, and every text is rewritten: single characters by a table, longer members greedily,
+leftmost and longest first, by an automaton. Invisible characters vanish, blanks become one plain blank, and marks stand in canonical order.
 """
 
 from __future__ import annotations
@@ -152,18 +152,22 @@ class Normalizer:
         if text is None:
             return None
         if self.machine is None:
-            self.machine = automaton(self.to)
+            # one character for another by a table; what is longer, spelt in what the table makes of it, by the automaton
+            self.single = {ord(m): r for m, r in self.to.items() if len(m) == 1}
+            self.longer = {w: r for m, r in self.to.items() if len(m) > 1 and (w := m.translate(self.single)) != r}
+            self.machine = automaton(self.longer)
             formats = (c for lo, hi in FORMAT_BLOCKS for c in range(lo, hi) if unicodedata.category(chr(c)) == "Cf")
             self.clean = {c: " " for c in range(0x3001) if chr(c).isspace()} | dict.fromkeys([*formats, *INVISIBLE])
         visible = text
         if not text.isascii():
             visible = _canonical(text.translate(self.clean))
-        visible = " ".join(visible.split())
+        visible = " ".join(visible.split()).translate(self.single)
         out, at = [], 0
         for start, p in greedy_matches(self.machine, visible):
-            out += [visible[at:start], self.to[p]]
+            out += [visible[at:start], self.longer[p]]
             at = start + len(p)
-        return _canonical("".join([*out, visible[at:]])) if out else visible
+        visible = "".join([*out, visible[at:]]) if out else visible
+        return visible if visible.isascii() else _canonical(visible)
 
 
 def representatives(counts: dict[str, int], groups: list[list[str]]) -> dict[str, str]:
@@ -187,9 +191,10 @@ def representatives(counts: dict[str, int], groups: list[list[str]]) -> dict[str
 
 
 def member_counts(texts: DataFrame, column: str, groups: list[list[str]]) -> dict[str, int]:
-    """How often each member of the classes occurs in all texts. The result is no larger than the classes."""
-    members = [m for g in groups for m in g]
-    single, longer = {m for m in members if len(m) == 1}, [m for m in members if len(m) > 1]
+    """How often the members of the classes that may stand for them occur in all texts. The result is no larger than the classes."""
+    # only the longest members of a class can come to stand for it, and only where there are several is there a choice
+    longest = [[m for m in g if len(m) == max(map(len, g))] for g in groups]
+    single, longer = {m for g in groups for m in g if len(m) == 1}, [m for g in longest if len(g) > 1 for m in g if len(m) > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter

@@ -53,3 +53,8 @@ def test_pairs_that_look_the_same_become_equal():
         assert one_form(a) == one_form(b), (a, b)
     for a, b in [("ſ", "s"), ("ϲ", "ς"), ("x²", "x2"), ("①", "1"), ("½", "1/2"), ("O", "0"), ("l", "1")]:
         assert one_form(a) != one_form(b), (a, b)
+
+
+def test_longer_members_go_through_the_automaton():
+    one_form = la.Normalizer({"rn": "m", "rnn": "x", "ο": "o"})
+    assert [one_form(t) for t in ("burn", "rnn", "rnrn", "cοrn", None, "")] == ["bum", "x", "mm", "com", None, ""]
