@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,9 +171,55 @@ def locate_fuzzy(queries: DataFrame, corpus: DataFrame, n: int = 4, seeds: int =
     return begun.groupBy("id", "group").agg(pick.alias("p")).select("id", "group", (-F.col("p.early")).alias("first_pos"), (-F.col("p.early") - F.col("p.short")).alias("last_pos"), "p.coverage")
 
 
-def align(pairs: DataFrame, least_block: int = 5) -> DataFrame:
+def locate_any(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``(id, group, first_pos, last_pos, coverage, how)``: where each query stands, by exact runs, or by ``locate_fuzzy`` where it has none.
+
+    ``coverage`` means one thing however a query was found: the share of its runs of four words within the stretch. Inputs are those
+    of ``locate``; ``how`` names what found it, so fallbacks can be counted.
+    """
+    exact = materialize(locate_exact(queries, corpus).select("id", "group", "first_pos", "last_pos"))
+    rest = queries.join(exact.select("id"), "id", "left_anti")
+    fuzzy = locate_fuzzy(rest, corpus).select("id", "group", "first_pos", "last_pos", "coverage", F.lit("fuzzy").alias("how"))
+    grams = queries.join(exact.select("id"), "id", "left_semi").select("id", "group", words(F.col("text")).alias("w")).select("id", "group", F.explode(F.array_distinct(shingles(F.col("w"), 4))).alias("s")).distinct()
+    size = grams.groupBy("id", "group").agg(F.count("*").alias("size"))
+    spelt = corpus.where("pos is not null and text is not null").select("group", "pos", words(F.col("text")).alias("w")).select("group", "pos", F.explode(F.array_distinct(shingles(F.col("w"), 4))).alias("s"))
+    inside = grams.join(exact, ["id", "group"]).join(spelt, ["group", "s"]).where("pos between first_pos and last_pos").groupBy("id", "group").agg(F.count_distinct("s").alias("held"))
+    found = exact.join(size, ["id", "group"]).join(inside, ["id", "group"], "left").select("id", "group", "first_pos", "last_pos", F.round(F.coalesce("held", F.lit(0)) / F.col("size"), 6).alias("coverage"), F.lit("exact").alias("how"))
+    return found.unionByName(fuzzy)
+
+
+def find_marker(texts: DataFrame, text: str, marker: str, threshold: float = 0.6) -> DataFrame:
+    """``texts`` with ``found_at``: where the marker's first five, four or three words stand in the text with single blanks, whatever
+    their case; else the start of the window most like the marker, if at least ``threshold``; -1 if none. Null texts give null.
+
+    Windows are as long as the marker, 50 at least, and a quarter of it apart. Likeness has no built-in expression: Arrow batches."""
+
+    @F.pandas_udf("int")
+    def at(text_: pd.Series, marker_: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        def one(t, m):
+            if t is None or m is None:
+                return None
+            t, m = " ".join(t.split()), " ".join(m.split())
+            low, parts = t.lower(), m.split(" ")
+            for n in (5, 4, 3):
+                if len(parts) >= n and (i := low.find(" ".join(parts[:n]).lower())) >= 0:
+                    return i
+            wide, step = max(len(m), 50), max(10, len(m) // 4)
+            best = max(((SequenceMatcher(None, m, t[i : i + wide]).ratio(), -i) for i in range(0, len(t) - wide + 1, step)), default=(0.0, 0))
+            return -best[1] if m and best[0] >= threshold else -1
+
+        return pd.Series([one(t, m) for t, m in zip(text_, marker_)], dtype="Int32")
+
+    return texts.withColumn("found_at", at(F.col(text), F.col(marker)))
+
+
+def align(pairs: DataFrame, least_block: int = 5, least_share: float = 0.0, most_bracket: float = float("inf")) -> DataFrame:
     """``(id, matched, start, end)`` for pairs (``id, needle, hay``): the share of the needle's words in common blocks of
-    ``least_block`` words or more, and the words of the other text between which they lie (end exclusive); nulls without a block.
+    ``least_block`` words or more, and the words of the other text between which they lie (end exclusive); nulls without a block, and
+    where the share is below ``least_share`` or the stretch longer than ``most_bracket`` times the needle (0.85 and 1.6 where an
+    alignment must be trusted).
 
     Sequence alignment has no built-in expression: it runs on Arrow batches, one pair at a time.
     """
@@ -187,8 +234,9 @@ def align(pairs: DataFrame, least_block: int = 5) -> DataFrame:
             for r in b.to_pylist():
                 a, z = (r["needle"] or []), (r["hay"] or [])
                 blocks = [m for m in SequenceMatcher(None, a, z, autojunk=False).get_matching_blocks() if m.size >= least_block]
-                found = bool(blocks)
-                out.append((r["id"], round(sum(m.size for m in blocks) / len(a), 6) if a else 0.0, blocks[0].b if found else None, blocks[-1].b + blocks[-1].size if found else None))
+                share = sum(m.size for m in blocks) / len(a) if a else 0.0
+                found = bool(blocks) and share >= least_share and blocks[-1].b + blocks[-1].size - blocks[0].b <= most_bracket * len(a)
+                out.append((r["id"], round(share, 6), blocks[0].b if found else None, blocks[-1].b + blocks[-1].size if found else None))
             yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], type=k) for i, k in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))], ["id", "matched", "start", "end"])
 
     spelt = pairs.select(F.col("id").cast("string"), words(F.col("needle")).alias("needle"), words(F.col("hay")).alias("hay"))

@@ -39,7 +39,7 @@ def follow_pointers(pointers: DataFrame, key: str, to: str) -> DataFrame:
 
     Pointers are doubled each round, so a chain of n takes about log2(n) rounds; the state is checkpointed.
     """
-    from spanloom.runtime import materialize
+    from spanloom.runtime import find_heavy, lookup, materialize
 
     state = materialize(pointers.select(F.col(key).alias("k"), F.coalesce(F.col(to), F.col(key)).alias("at"), F.col(to).isNull().alias("done")))
     longest = state.count()  # no chain that ends is longer
@@ -47,23 +47,55 @@ def follow_pointers(pointers: DataFrame, key: str, to: str) -> DataFrame:
         if state.where("not done").isEmpty():
             break
         nxt = state.select(F.col("k").alias("at"), F.col("at").alias("_a"), F.col("done").alias("_d"))
-        state = materialize(state.join(nxt, "at", "left").select("k", F.when(F.col("done"), F.col("at")).otherwise(F.col("_a")).alias("at"), (F.col("done") | F.coalesce("_d", F.lit(True))).alias("done")))
+        state = materialize(lookup(state, nxt, "at", find_heavy(state, "at", longest)).select("k", F.when(F.col("done"), F.col("at")).otherwise(F.col("_a")).alias("at"), (F.col("done") | F.coalesce("_d", F.lit(True))).alias("done")))
     return state.select(F.col("k").alias(key), F.when(F.col("done"), F.col("at")).alias("target"))
 
 
-def poisson_bootstrap(rows: DataFrame, key: str, hit: str, draws: int = 200, seed: int = 1) -> DataFrame:
-    """``(share, low, high)`` of a 0/1 column, with the 2.5 and 97.5 percentiles over ``draws`` resamples.
+def resample(counts: DataFrame, draws: int = 1000, seed: int = 1) -> DataFrame:
+    """``(list, draw, share)``: shares of hits in resamples of each list, from its counts (``list, hits, n``) alone.
 
-    Each row weighs in each resample by a Poisson number made from a hash of its key, the draw and the seed: the same for the same
-    data however it is partitioned, and summed in one partial aggregate.
+    Drawing n rows with replacement out of n, of which so many hit, gives a binomial number of hits: no row is repeated, and a list takes
+    as much however long it is. Lists are few (one small row each); the draws of a list depend on its name and the seed only.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1_000_003)) / 1_000_003.0
-    steps = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406]  # fixed values: the Poisson distribution with mean 1
-    weight = reduce(lambda acc, s: acc + (u >= s).cast("int"), steps, F.lit(0))
-    drawn = rows.where(F.col(hit).isNotNull()).select(key, F.col(hit).cast("int").alias("hit"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
-    each = drawn.groupBy("draw").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("share"))
-    whole = rows.agg(F.avg(F.col(hit).cast("int")).alias("share"))
-    return whole.crossJoin(each.agg(F.percentile("share", 0.025).alias("low"), F.percentile("share", 0.975).alias("high")))
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for name, hits, n in zip(b["list"], b["hits"], b["n"]):
+                if n:
+                    got = np.random.default_rng((seed, zlib.crc32(str(name).encode()))).binomial(int(n), hits / n, draws) / n
+                    yield pd.DataFrame({"list": name, "draw": range(1, draws + 1), "share": got})
+
+    return counts.select(F.col("list").cast("string"), F.col("hits").cast("bigint"), F.col("n").cast("bigint")).mapInPandas(run, "list string, draw int, share double")
+
+
+def bootstrap_share(rows: DataFrame, hit: str, draws: int = 1000, seed: int = 1) -> DataFrame:
+    """``(share, low, high)`` of a 0/1 column, with the 2.5 and 97.5 percentiles over resamples; nulls don't count."""
+    n = rows.where(F.col(hit).isNotNull()).agg(F.lit("all").alias("list"), F.coalesce(F.sum(F.col(hit).cast("int")), F.lit(0)).alias("hits"), F.count("*").alias("n"))
+    ends = resample(n, draws, seed).agg(F.percentile("share", 0.025).alias("low"), F.percentile("share", 0.975).alias("high"))
+    return n.select((F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("share")).crossJoin(ends)
+
+
+def estimate_missing(lists: DataFrame, shipped: int, sample_hits: int, sample_n: int, draws: int = 1000, seed: int = 1) -> DataFrame:
+    """``(point, low, high)``: how many stories are missing beyond the shipped ones: S p (1 - r) / r.
+
+    ``lists`` has ``list, hits, n``: per expert list, entries on the site and all; r is their pooled share, p the share of real stories in
+    a sample of the shipped. Lists and sample are resampled; the bounds are the draws of rank 2.5 and 97.5 percent.
+    """
+    spark = lists.sparkSession
+    sample = spark.createDataFrame([("_sample", sample_hits, sample_n)], "list string, hits bigint, n bigint")
+    sized = lists.select(F.col("list").cast("string"), F.col("hits").cast("bigint"), F.col("n").cast("bigint"))
+    each = resample(sized.unionByName(sample), draws, seed).join(F.broadcast(sized.select("list", "n")), "list", "left")
+    per = each.groupBy("draw").agg(F.sum(F.col("share") * F.col("n")).alias("k"), F.sum("n").alias("n"), F.max(F.when(F.col("list") == "_sample", F.col("share"))).alias("p"))
+    per = per.where("k > 0").select((F.lit(shipped) * F.col("p") * (1 - F.col("k") / F.col("n")) / (F.col("k") / F.col("n"))).alias("missing"))
+    ends = per.agg(F.percentile_approx("missing", 0.025, 100_000).alias("low"), F.percentile_approx("missing", 0.975, 100_000).alias("high"))
+    whole = sized.agg((F.sum("hits") / F.sum("n")).alias("r"))
+    point = F.lit(shipped * sample_hits / sample_n if sample_n else 0.0) * (1 - F.col("r")) / F.nullif(F.col("r"), F.lit(0.0))
+    return whole.select(point.alias("point")).crossJoin(ends)
 
 
 def edge_scores(targets: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -142,11 +142,20 @@ def edge_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_share(spark: SparkSession, d: str) -> DataFrame:
     """The share of listed entries that the detector proposed, with a bootstrap interval."""
-    return scoring.poisson_bootstrap(_entries(spark, d).where("expert_listed"), "entry_id", "proposed")
+    return scoring.bootstrap_share(_entries(spark, d).where("expert_listed"), "proposed")
+
+
+def missing_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """How many stories are missing beyond the shipped ones, from the listed entries of each corpus that are shipped."""
+    from spanloom.plans import eval_queries
+
+    lists = eval_queries._steps(spark, d).groupBy(F.col("corpus").alias("list")).agg(F.count_if("shipped").alias("hits"), F.count("*").alias("n"))
+    shipped = eval_queries.ship_list(spark, d).where("ships").count()
+    return scoring.estimate_missing(lists, shipped, 54, 60)
 
 
 def queries() -> dict:
-    fs = [edge_scores, bootstrap_share, label_confusion, wilson_by_judge, judge_agreement, judge_stability, boundary_stats, density_buckets, recall_funnel, gate_text, completeness, additive_guard, stratified_sample, batches, weekly_buckets, last_active_week, ledger_insert, dedupe_counts, pointer_targets]
+    fs = [edge_scores, bootstrap_share, missing_estimate, label_confusion, wilson_by_judge, judge_agreement, judge_stability, boundary_stats, density_buckets, recall_funnel, gate_text, completeness, additive_guard, stratified_sample, batches, weekly_buckets, last_active_week, ledger_insert, dedupe_counts, pointer_targets]
     return {f.__name__: f for f in fs}
 
 

@@ -37,7 +37,7 @@ def test_folding_and_offsets(spark):
 
 def test_bootstrap_is_stable_and_covers(spark):
     df = spark.createDataFrame([(i, i % 4 == 0) for i in range(400)], "id int, hit boolean")
-    a, b = (scoring.poisson_bootstrap(x, "id", "hit").first() for x in (df, df.repartition(9)))
+    a, b = (scoring.bootstrap_share(x, "hit").first() for x in (df, df.repartition(9)))
     assert a == b and a["low"] < 0.25 < a["high"] and a["high"] - a["low"] < 0.12
 
 
@@ -98,3 +98,29 @@ def test_exact_location_takes_the_running_text(spark):
     assert got["break"] == (50, 51, 1, 1.0) and got["extent"][:2] == (100, 102) and "common" not in got
     assert got == {k: x for k, v in asked.items() if (x := _locate_one(v, segments))}
     assert "break" not in {r["id"] for r in passages.locate(queries, corpus).collect()}
+
+
+def test_fallback_locator_alignment_limits_and_markers(spark, rows):
+    from spanloom.operators import passages
+
+    corpus = spark.createDataFrame([("c", i, t) for i, t in enumerate(["a b c d e f g h", "i j k l m n o p", "q r s t u v w x", "a b c d zz e f g h"])], "group string, pos int, text string")
+    asked = spark.createDataFrame([("x", "c", "i j k l m n o p"), ("y", "c", "q r s t no way r s t u v"), ("z", "c", "nothing here at all of it"), ("n", "c", None)], "id string, group string, text string")
+    got = {r["id"]: (r["how"], r["first_pos"], r["last_pos"], r["coverage"]) for r in passages.locate_any(asked, corpus).collect()}
+    assert got["x"] == ("exact", 1, 1, 1.0) and got["y"][:3] == ("fuzzy", 2, 2) and set(got) == {"x", "y"}
+    pair = spark.createDataFrame([("a", "one two three four five six", "zero one two three four five six"), ("b", "one two three four five six seven eight nine ten", "one two three four five x x x x x x x x x x x x")], "id string, needle string, hay string")
+    assert rows(passages.align(pair, 5, 0.85, 1.6)) == [("a", 1.0, 1, 7), ("b", 0.5, None, None)]
+    t = spark.createDataFrame([("He said:  Once a man came", "once A man went"), ("short", "nothing like it"), (None, "x"), ("x" * 60, "x" * 55)], "t string, m string")
+    assert [r["found_at"] for r in passages.find_marker(t, "t", "m").collect()] == [9, -1, None, 0]
+
+
+def test_resampled_shares_need_no_rows(spark):
+    from spanloom.operators import scoring
+
+    rows_ = spark.createDataFrame([(i, i % 4 != 0) for i in range(400)] + [(500, None)], "k int, hit boolean")
+    r = scoring.bootstrap_share(rows_, "hit").first()
+    assert r["share"] == 0.75 and 0.69 < r["low"] < 0.72 and 0.78 < r["high"] < 0.81
+    assert scoring.bootstrap_share(rows_.limit(0), "hit").first()["share"] is None
+    lists = spark.createDataFrame([("a", 80, 100), ("b", 60, 100)], "list string, hits int, n int")
+    e = scoring.estimate_missing(lists, 1000, 54, 60).first()
+    assert abs(e["point"] - 1000 * 0.9 * 0.3 / 0.7) < 1e-6 and e["low"] < e["point"] < e["high"] and e["high"] - e["low"] < 300
+    assert scoring.estimate_missing(lists, 1000, 54, 60).first() == e

@@ -65,14 +65,7 @@ def test_section_state(spark, rows):
 def test_permanent_ids_one_to_one(spark, rows):
     new = spark.createDataFrame([("a", "p", 0, 5), ("b", "p", 4, 9), ("c", "q", 0, 1)], "story string, ref string, lo int, hi int")
     old = frame(spark, [("x", "p", 0, 4), ("y", "p", 5, 9), ("c", "z", 0, 0)])
-    assert rows(publish.assign_ids(new, old)) == [("a", "x", "kept"), ("b", "y", "kept"), ("c", "c-v2", "minted")]
-
-
-def test_page_fold_is_sequential(spark, rows):
-    pages = spark.createDataFrame([("c", i, 9) for i in range(4)], "corpus string, page_seq int, last int")
-    data = [("c", 0, "a", 5, 9, True, False), ("c", 1, "b", 0, 9, True, False), ("c", 2, "d", 0, 3, False, False), ("c", 2, "e", 5, 6, None, None), ("c", 3, "f", 0, 1, False, True)]
-    df = spark.createDataFrame(data, "corpus string, page_seq int, id string, lo int, hi int, to_next boolean, from_prev boolean")
-    assert rows(publish.fold_pages(df, pages)) == [("b", "a"), ("d", "a"), ("f", "e")]
+    assert rows(publish.assign_ids(new, old)) == [(None, "c", "retired"), ("a", "x", "kept"), ("b", "y", "kept"), ("c", "c-v2", "minted")]
 
 
 def test_corrections_in_order(spark, rows):
@@ -88,12 +81,6 @@ def test_pointers_end_circle_and_dangle(spark, rows, n):
     assert all(got[f"k{i}"] == f"k{n}" for i in range(n + 1)) and got["x"] is None and got["d"] is None
 
 
-def test_decision_table_stops_at_unsure(spark, rows):
-    df = spark.createDataFrame([("1", "yes", "no"), ("2", "unsure", "yes"), ("3", "no", "yes"), ("4", "no", "no")], "id string, a string, b string")
-    rules = [("first", {"a": "yes"}), ("second", {"b": "yes"})]
-    assert rows(df.select("id", scoring.decide(df, rules, "none").alias("v"))) == [("1", "first"), ("2", "unsure"), ("3", "second"), ("4", "none")]
-
-
 def test_story_fold_cases_in_order(spark, rows):
     none, low, high = "NOT_A_STORY", "LOW_CONFIDENCE", "HIGH_CONFIDENCE"
     #       the earlier page's last story, the later page's first one: (lo, hi, classification, to_next, from_prev); labels at the break
