@@ -182,6 +182,7 @@ def oracle_sql() -> dict[str, str]:
         "offset_map": with_(SEG, s) + rf"SELECT ref, seg, length({bare}) AS n, length(regexp_extract(hebrew, '(?s)^(.*)[^\x{{0591}}-\x{{05C7}}]', 1)) AS last_at FROM s WHERE hebrew <> ''",
         "formula_extension": with_(SEG, s) + rf", c AS (SELECT ref, seg, {clauses} AS c FROM s), w AS (SELECT *, trim(c[1], ' ') AS t, len(string_split(trim(regexp_replace(c[1], '\s+', ' ', 'g'), ' '), ' ')) AS n FROM c WHERE len(c) > 1) SELECT ref, seg, CASE WHEN t <> '' AND n <= 8 AND (" + " OR ".join(f"starts_with(t, '{f}')" for f in FORMULAE) + " OR n <= 4 AND contains(t, 'said')) THEN 0 ELSE 1 END AS start_clause FROM w",
         "actor_scope": with_(SEG, s) + f", n AS (SELECT ref, seg, array_to_string({names}, ', ') AS names FROM s) SELECT ref, seg, names, NOT {any_of('lower(names)', SIGNALS)} AND {any_of('lower(names)', ACTORS)} AND len(list_filter(string_split_regex(lower(names), '[,;]| and '), lambda q: trim(q, ' ') <> '' AND NOT ({any_of('trim(q)', ACTORS)} OR {generic.replace('(p,', '(q,')}))) = 0 AS \"only\", {token('lower(names)', 'rav')} AS rav FROM n WHERE names <> ''",
+        "accent_keys": "SELECT doc_id, length(regexp_replace(lower(strip_accents(text)), '[^a-z ]', '', 'g')) AS n FROM documents WHERE length(text) > 0",
         "marker_likelihood": with_(SEG, s, banded) + f"SELECT ref, seg, score, band, array_to_string({e['story']}, '|') AS e_story, array_to_string({h['story']}, '|') AS h_story, array_to_string({e['legal']}, '|') AS e_legal FROM b",
         "disqualified": with_(SEG, s) + "SELECT * FROM (" + " UNION ALL ".join(rules) + ") WHERE marker IS NOT NULL",
         "continuation_chain": with_(SEG, s, banded, linked) + "SELECT ref, seg, seg - 1 AS goes_on_from FROM k WHERE continues",

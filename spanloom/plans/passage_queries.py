@@ -38,9 +38,9 @@ def passage_containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of different texts that share telling passages."""
+    """Pairs of different texts that share telling passages; at looser limits than the operator's own, as these texts share little."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("group"), "text")
-    return passages.shared_passages(docs)
+    return passages.shared_passages(docs, least=4, share=0.1)
 
 
 def text_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +80,7 @@ def oracle_sql() -> dict[str, str]:
     listed = "listed AS (SELECT entry_id, min(corpus) AS corpus, min(ref) AS ref, min(expert_text) AS expert_text FROM ruler_entries WHERE expert_text IS NOT NULL GROUP BY entry_id)"
     return {
         "text_classes": f"WITH w AS (SELECT doc_id, {_words('text')} AS words FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(doc_id) OVER (PARTITION BY words) AS class_id FROM w WHERE words <> ''",
+        "shared_passages": f"WITH w AS (SELECT doc_id, {_words('text')} AS words FROM documents WHERE text IS NOT NULL), c AS (SELECT min(doc_id) AS class, words FROM w WHERE words <> '' GROUP BY words), r AS (SELECT DISTINCT class, g FROM (SELECT class, unnest({_grams('w', 5)}) AS g FROM (SELECT class, string_split(words, ' ') AS w FROM c))), t AS (SELECT class, g FROM r WHERE g IN (SELECT g FROM r GROUP BY g HAVING count(*) <= 4)), z AS (SELECT class, count(*) AS size FROM t GROUP BY class HAVING count(*) >= 4), p AS (SELECT x.class AS a, y.class AS b, count(*) AS shared FROM t x JOIN t y ON x.g = y.g AND x.class < y.class GROUP BY ALL HAVING count(*) >= 4) SELECT a, b, shared, round(shared / least(za.size, zb.size), 6) AS overlap FROM p JOIN z za ON za.class = a JOIN z zb ON zb.class = b WHERE round(shared / least(za.size, zb.size), 6) >= 0.1",
         "passage_locate": with_(SEG, listed)
         + f""", s AS (SELECT corpus, pos, unnest({_grams('w', 6)}) AS g FROM (SELECT corpus, pos, string_split({_words('english')}, ' ') AS w FROM seg WHERE pos IS NOT NULL AND english IS NOT NULL)),
 u AS (SELECT corpus, g, min(pos) AS pos FROM (SELECT DISTINCT corpus, pos, g FROM s) GROUP BY corpus, g HAVING count(*) = 1),

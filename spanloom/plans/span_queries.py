@@ -162,8 +162,8 @@ SELECT id, action, CASE action WHEN 'drop' THEN NULL WHEN 'clamp' THEN greatest(
         "span_gap_merge": _islands_sql(4),
         "span_clashes": with_(STORY, GOOD) + ", n AS (SELECT ref, id, hi, lead(id) OVER w AS next_id, lead(lo) OVER w AS nl, lead(hi) OVER w AS nh FROM good WINDOW w AS (PARTITION BY ref ORDER BY lo, hi, id)) SELECT ref, id, next_id, CASE WHEN nh <= hi THEN 'contains' ELSE 'overlaps' END AS kind FROM n WHERE nl <= hi",
         "span_edge_trim": with_(SEG, LABELLED, STORY, GOOD)
-        + """, t AS (SELECT id, min(CASE WHEN label <> 'DELIBERATION' THEN seg_idx END) AS a, max(CASE WHEN label <> 'DELIBERATION' THEN seg_idx END) AS b, max((label = 'NARRATIVE_EVENT')::int) AS ok FROM good g JOIN labelled l ON l.ref = g.ref AND l.seg_idx BETWEEN g.lo AND g.hi GROUP BY id)
-SELECT g.id, CASE WHEN ok = 1 THEN a ELSE lo END AS new_lo, CASE WHEN ok = 1 THEN b ELSE hi END AS new_hi FROM good g LEFT JOIN t USING (id)""",
+        + """, t AS (SELECT id, min(CASE WHEN label <> 'DELIBERATION' THEN seg_idx END) AS a, max(CASE WHEN label <> 'DELIBERATION' THEN seg_idx END) AS b, max((label = 'NARRATIVE_EVENT')::int) AS ok FROM good g JOIN labelled l ON l.ref = g.ref AND l.seg_idx BETWEEN g.lo AND g.hi GROUP BY id), x AS (SELECT ref, max(seg_idx) AS last FROM seg GROUP BY ref)
+SELECT g.id, CASE WHEN ok = 1 THEN a ELSE lo END AS new_lo, CASE WHEN ok = 1 AND coalesce(hi <= last, true) THEN b ELSE hi END AS new_hi FROM good g LEFT JOIN t USING (id) LEFT JOIN x USING (ref)""",
         "span_start_snap": with_(SEG, STORY, GOOD)
         + f""", o AS (SELECT ref, seg_idx FROM seg WHERE regexp_matches(lower(english), '{OPENER}')),
 n AS (SELECT id, min(CASE WHEN seg_idx > lo THEN seg_idx END) AS fwd, max(CASE WHEN seg_idx = lo - 1 THEN seg_idx END) AS back FROM good JOIN o USING (ref) WHERE hi > lo AND seg_idx BETWEEN lo - 1 AND least(hi - 1, lo + 3) AND seg_idx <> lo GROUP BY id)

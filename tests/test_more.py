@@ -124,3 +124,17 @@ def test_resampled_shares_need_no_rows(spark):
     e = scoring.estimate_missing(lists, 1000, 54, 60).first()
     assert abs(e["point"] - 1000 * 0.9 * 0.3 / 0.7) < 1e-6 and e["low"] < e["point"] < e["high"] and e["high"] - e["low"] < 300
     assert scoring.estimate_missing(lists, 1000, 54, 60).first() == e
+
+
+def test_planted_parallels_are_found(spark):
+    from spanloom.operators import passages
+
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    story = [word() for _ in range(30)]
+    texts = [(0, "x", story), (1, "y", [word() for _ in range(10)] + story[5:25] + [word() for _ in range(10)]), (2, "x", story[:20] + [word()]), (3, "z", [word() for _ in range(30)]), (4, "y", story), (5, None, None)]
+    docs = spark.createDataFrame([(i, g, " ".join(t) if t else None) for i, g, t in texts], "id bigint, group string, text string")
+    got = {(r["a"], r["b"]): (r["shared"], r["overlap"]) for r in passages.shared_passages(docs).collect()}
+    assert got == {(0, 1): (16, round(16 / 26, 6)), (1, 2): (11, round(11 / 17, 6))}  # 2 is of the same group as 0, and 4 is a copy of it
