@@ -280,7 +280,8 @@ def link(nodes: DataFrame, ancestors: list[str]) -> DataFrame:
 
 def run_record_nodes(records: DataFrame) -> DataFrame:
     """Linked nodes of raw detector runs: pages, segments, stories, events and weakeners."""
-    return link(distinct_nodes(label_nodes(records, "rec_id", "doc", RUN_RECORD, RUN_RECORD_MARKS)), ["record", "page", "story"])
+    once = records.where("doc is not null").select("rec_id", "doc").dropDuplicates()  # a document delivered again is walked once
+    return link(label_nodes(once, "rec_id", "doc", RUN_RECORD, RUN_RECORD_MARKS), ["record", "page", "story"])
 
 
 def run_record_tables(records: DataFrame) -> dict[str, DataFrame]:

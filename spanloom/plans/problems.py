@@ -34,6 +34,20 @@ def p5_stories(spark: SparkSession, d: str) -> DataFrame:
     return nested.run_record_tables(read(spark, d, "run_records"))["stories"].select(F.col("doc_key").alias("rec_id"), "page_place", F.col("place").alias("story_place"), "start_segment", "end_segment", "classification", "one_sentence_summary")
 
 
+def _p5_table(name: str, *columns: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        own = {"page_place": "page_no", "story_place": "story_no", "place": "place"}
+        df = nested.run_record_tables(read(spark, d, "run_records"))[name]
+        return df.select(F.col("doc_key").alias("rec_id"), *(F.col(c).alias(own.get(c, c)) for c in columns))
+
+    query.__doc__ = f"The flat table of {name}, each row naming its record and the nodes that hold it."
+    return query
+
+
+p5_pages, p5_segments = _p5_table("pages", "place", "ref"), _p5_table("segments", "page_place", "place", "english", "hebrew")
+p5_events, p5_weakeners = _p5_table("events", "page_place", "story_place", "place", "event"), _p5_table("weakeners", "page_place", "story_place", "place", "weakener")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "answer_lines").select("stream_name", "file_seq", "raw")
     return drift.change_report(store(drift.ingest(lines, "raw", ANSWER_TARGET, exact=True)), "stream_name", "file_seq", ANSWER_TARGET)
@@ -47,7 +61,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_stories": p5_stories, "p7_found": p7_found, "p7_table": p7_table}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_stories": p5_stories, "p5_pages": p5_pages, "p5_segments": p5_segments, "p5_events": p5_events, "p5_weakeners": p5_weakeners, "p7_found": p7_found, "p7_table": p7_table}
 
 
 P2_SQL = """
