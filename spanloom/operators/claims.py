@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.passages import shingles, words
 from spanloom.operators.spans import cells, clashes, exact_else_overlap
-from spanloom.runtime import materialize
+from spanloom.runtime import store
 
 
 def attach_verdicts(spans: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -81,15 +81,15 @@ def refuse_clashing(spans: DataFrame, changes: DataFrame) -> DataFrame:
 
     All changes are made; those of spans in a clash that wasn't there before are dropped, and so on until none clashes. Each round
     refuses at least one, and in practice nearly all that ever will be."""
-    before = materialize(clashes(spans).select("id", "next_id"))
-    open_ = materialize(changes.select("id", "new_lo", "new_hi").distinct())
+    before = store(clashes(spans).select("id", "next_id"))
+    open_ = store(changes.select("id", "new_lo", "new_hi").distinct())
     while True:
         now = spans.select("id", "ref", "lo", "hi").join(open_, "id", "left").select("id", "ref", F.coalesce("new_lo", "lo").alias("lo"), F.coalesce("new_hi", "hi").alias("hi"))
         met = clashes(now).select("id", "next_id").join(before, ["id", "next_id"], "left_anti")
-        bad = materialize(met.select(F.explode(F.array("id", "next_id")).alias("id")).distinct().join(open_, "id", "left_semi"))
+        bad = store(met.select(F.explode(F.array("id", "next_id")).alias("id")).distinct().join(open_, "id", "left_semi"))
         if bad.isEmpty():
             return changes.select("id").distinct().join(open_.select("id", F.lit(True).alias("applied")), "id", "left").na.fill(False, ["applied"])
-        open_ = materialize(open_.join(bad, "id", "left_anti"))
+        open_ = store(open_.join(bad, "id", "left_anti"))
 
 
 def ready_steps(states: DataFrame, depends: DataFrame) -> DataFrame:

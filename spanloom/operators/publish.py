@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.spans import cells
-from spanloom.runtime import materialize
+from spanloom.runtime import store
 
 
 def assign_ids(stories: DataFrame, registry: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def assign_ids(stories: DataFrame, registry: DataFrame) -> DataFrame:
     status = F.col("status") if "status" in registry.columns else F.lit("active")
     known = registry.withColumn("_pool", F.when(status == "retired", 1).otherwise(0))
     a, b = cells(stories).select("story", "ref", "seg").distinct(), cells(known).select("id", "_pool", "ref", "seg").distinct()
-    pairs = materialize(a.join(b, ["ref", "seg"]).groupBy("_pool", "story", "id").agg(F.count("*").alias("n")))
+    pairs = store(a.join(b, ["ref", "seg"]).groupBy("_pool", "story", "id").agg(F.count("*").alias("n")))
     used = None
     for level in sorted(pairs.select("_pool", "n").distinct().collect(), key=lambda r: (r["_pool"], -r["n"])):
         here = pairs.where((F.col("_pool") == level["_pool"]) & (F.col("n") == level["n"]))
@@ -33,7 +33,7 @@ def assign_ids(stories: DataFrame, registry: DataFrame) -> DataFrame:
             here = here.join(used.select("story").distinct(), "story", "left_anti").join(used.select("id").distinct(), "id", "left_anti")
         rivals = F.greatest(F.count("*").over(Window.partitionBy("story")), F.count("*").over(Window.partitionBy("id")))
         now = here.select("story", "id", F.when(rivals > 1, "refused").otherwise("revived" if level["_pool"] else "kept").alias("how"))
-        used = materialize(now if used is None else used.unionByName(now))
+        used = store(now if used is None else used.unionByName(now))
     if used is None:
         used = pairs.select("story", "id", F.lit("").alias("how"))
     held = known.select(F.regexp_extract("id", r"^(.*?)(?:-v(\d+))?$", 1).alias("stem"), F.coalesce(F.regexp_extract("id", r"-v(\d+)$", 1).try_cast("int"), F.lit(1)).alias("v")).groupBy("stem").agg(F.max("v").alias("v"))

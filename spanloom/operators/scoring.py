@@ -39,15 +39,15 @@ def follow_pointers(pointers: DataFrame, key: str, to: str) -> DataFrame:
 
     Pointers are doubled each round, so a chain of n takes about log2(n) rounds; the state is checkpointed.
     """
-    from spanloom.runtime import find_heavy, lookup, materialize
+    from spanloom.runtime import find_heavy, lookup, store
 
-    state = materialize(pointers.select(F.col(key).alias("k"), F.coalesce(F.col(to), F.col(key)).alias("at"), F.col(to).isNull().alias("done")))
+    state = store(pointers.select(F.col(key).alias("k"), F.coalesce(F.col(to), F.col(key)).alias("at"), F.col(to).isNull().alias("done")))
     longest = state.count()  # no chain that ends is longer
     for _ in range(longest.bit_length() + 1):
         if state.where("not done").isEmpty():
             break
         nxt = state.select(F.col("k").alias("at"), F.col("at").alias("_a"), F.col("done").alias("_d"))
-        state = materialize(lookup(state, nxt, "at", find_heavy(state, "at", longest)).select("k", F.when(F.col("done"), F.col("at")).otherwise(F.col("_a")).alias("at"), (F.col("done") | F.coalesce("_d", F.lit(True))).alias("done")))
+        state = store(lookup(state, nxt, "at", find_heavy(state, "at", longest)).select("k", F.when(F.col("done"), F.col("at")).otherwise(F.col("_a")).alias("at"), (F.col("done") | F.coalesce("_d", F.lit(True))).alias("done")))
     return state.select(F.col("k").alias(key), F.when(F.col("done"), F.col("at")).alias("target"))
 
 

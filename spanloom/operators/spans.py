@@ -204,16 +204,16 @@ def cell_components(spans: DataFrame) -> DataFrame:
     One label round per step of the longest chain, at most doubling: labels are handed on through cells and then through the
     labels' own spans. The state between rounds is checkpointed.
     """
-    from spanloom.runtime import counted, find_heavy, lookup, materialize
+    from spanloom.runtime import counted, find_heavy, lookup, store
 
-    own = materialize(cells(spans).select("id", "ref", "seg").distinct())
-    label = materialize(own.select("id").distinct().withColumn("component", F.col("id")))
+    own = store(cells(spans).select("id", "ref", "seg").distinct())
+    label = store(own.select("id").distinct().withColumn("component", F.col("id")))
     while True:
         by_cell = own.join(label, "id").groupBy("ref", "seg").agg(F.min("component").alias("_c"))
         low = own.join(by_cell, ["ref", "seg"]).groupBy("id").agg(F.min("_c").alias("_c"))
         step, n = counted(label.join(low, "id").select("id", F.least("component", "_c").alias("_n"), "component"))
         jump = step.select(F.col("id").alias("_n"), F.col("_n").alias("_j"))
-        new = materialize(lookup(step, jump, "_n", find_heavy(step, "_n", n), "inner").select("id", F.least("_n", "_j").alias("new"), "component"))
+        new = store(lookup(step, jump, "_n", find_heavy(step, "_n", n), "inner").select("id", F.least("_n", "_j").alias("new"), "component"))
         settled = new.where("new <> component").isEmpty()
         label = new.select("id", F.col("new").alias("component"))
         if settled:

@@ -43,7 +43,10 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-materialize = store
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from there: for narrow rows, outside loops of joins (see ``store``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
