@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.runtime import counted, find_heavy, lookup, materialize
+from spanloom.runtime import counted, find_heavy, lookup, store
 
 
 def star_edges(groups: DataFrame, members: str) -> DataFrame:
@@ -30,12 +30,12 @@ def _codes(edges: DataFrame, hashed=F.xxhash64) -> DataFrame:
     A card's code is its hash, made even. Cards that share theirs with others, a handful even among billions, are numbered in order
     and take the odd numbers from 1 on, so no two codes are ever equal.
     """
-    cards = materialize(edges.select(F.explode(F.array("a", "b")).alias("card")).distinct())
+    cards = store(edges.select(F.explode(F.array("a", "b")).alias("card")).distinct())
     coded = cards.select("card", (hashed("card").bitwiseAND(F.lit(-2))).alias("v"))
-    shared = materialize(coded.groupBy("v").count().where("count > 1").select("v"))
+    shared = store(coded.groupBy("v").count().where("count > 1").select("v"))
     if shared.isEmpty():
         return coded
-    again = materialize(coded.join(shared, "v", "left_semi"))
+    again = store(coded.join(shared, "v", "left_semi"))
     numbered = again.select("card", (F.row_number().over(Window.orderBy("card")).cast("bigint") * 2 - 1).alias("v"))
     return coded.join(shared, "v", "left_anti").select("card", "v").unionByName(numbered)
 
@@ -59,7 +59,7 @@ def contract(edges: DataFrame, seed: int = 0) -> DataFrame:
         sizes.append(n)
         once = lookup(edges, hooks.withColumnsRenamed({"v": "a", "root": "ra"}), "a", find_heavy(edges, "a", left), "inner").select("ra", "b")
         if left >= 20_000:  # read twice if some vertex is heavy
-            once = materialize(once)
+            once = store(once)
         both = lookup(once, hooks.withColumnsRenamed({"v": "b", "root": "rb"}), "b", find_heavy(once, "b", left), "inner").select("ra", "rb").where("ra <> rb")
         edges, left = counted(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not mappings:
@@ -67,7 +67,7 @@ def contract(edges: DataFrame, seed: int = 0) -> DataFrame:
     whole = mappings[-1]
     for step, n in zip(mappings[-2::-1], sizes[-2::-1]):
         nxt = whole.select(F.col("v").alias("root"), F.col("root").alias("further"))
-        whole = materialize(lookup(step, nxt, "root", find_heavy(step, "root", n)).select("v", F.coalesce("further", "root").alias("root")))
+        whole = store(lookup(step, nxt, "root", find_heavy(step, "root", n)).select("v", F.coalesce("further", "root").alias("root")))
     return whole
 
 
@@ -78,10 +78,10 @@ def group_ids(groups: DataFrame, members: str) -> DataFrame:
     itself link nothing; an empty table gives an empty result.
     """
     edges, n = counted(star_edges(groups, members))
-    codes = materialize(_codes(edges))
+    codes = store(_codes(edges))
     coded = lookup(edges, codes.withColumnsRenamed({"card": "a", "v": "va"}), "a", find_heavy(edges, "a", n), "inner").select("b", "va")
     if n >= 20_000:
-        coded = materialize(coded)
+        coded = store(coded)
     coded = lookup(coded, codes.withColumnsRenamed({"card": "b", "v": "vb"}), "b", find_heavy(coded, "b", n), "inner").select(F.col("va").alias("a"), F.col("vb").alias("b"))
     roots = contract(coded)
     labelled, m = counted(codes.join(roots, "v").select("card", "root"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.runtime import find_heavy, lookup, materialize, store
+from spanloom.runtime import find_heavy, lookup, store
 
 #: The level of the error variance's upper bound, and its standard normal quantile.
 ALPHA, Z = 0.05, -1.959963984540054
@@ -105,32 +105,44 @@ def _label(tables, base: list[float], weights, k: int, batches: Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column("item"), pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(near.max(axis=1) / near.sum(axis=1))], ["item", "label", "confidence"])
 
 
+def weigh_all(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``weigh`` for all annotators at once: from ``n[source, said, label]`` their weights and weighted squared distances."""
+    k = n.shape[1]
+    distance = math.log(k) - np.log((n + PRIOR_ANY + PRIOR_RIGHT * np.eye(k)) / (n.sum(axis=1, keepdims=True) + k * PRIOR_ANY + PRIOR_RIGHT))
+    claims = np.maximum(n.sum(axis=(1, 2)), 1)
+    cube = claims * (1 - 2 / (9 * claims) + Z * np.sqrt(2 / (9 * claims))) ** 3
+    quantile = np.where(claims <= 1, 0.000982069, np.where(claims <= 2, -2 * math.log(1 - ALPHA / 2), cube))
+    weight = quantile / (n * distance).sum(axis=(1, 2))
+    return weight, np.round(weight[:, None, None] * distance, 12)
+
+
 def _discover_near(claims: DataFrame, known: list, k: int) -> tuple[DataFrame, DataFrame, int, bool]:
     """All rounds over one compact table, an item a row with what its annotators said as numbers: no round shuffles a claim."""
     spark = claims.sparkSession
-    code = {s: i for i, s in enumerate(known)}
-    codes = spark.createDataFrame([(s, i) for s, i in code.items()], f"source {claims.schema['source'].dataType.simpleString()}, code int")
+    kind = claims.schema["source"].dataType.simpleString()
+    codes = spark.createDataFrame([(s, i) for i, s in enumerate(known)], f"source {kind}, code int")
     habits = F.collect_list((F.col("code") * k + F.col("said")).cast("int"))  # at most one for each of the few annotators
     items = store(claims.join(F.broadcast(codes), "source").groupBy("item").agg(habits.alias("habits")))
     tables, base = first_tables(k)
-    before, settled, rounds, rows = None, False, 0, []
+    n, weight = np.zeros((max(len(known), 2), k, k)), np.zeros(max(len(known), 2))
+    settled, rounds = False, 0
     for rounds in range(1, ROUNDS + 1):
-        counted = items.mapInArrow(partial(_count, spark.sparkContext.broadcast(tables), base, k), "habit bigint, label int, n bigint").groupBy("habit").agg(*(F.sum(F.when(F.col("label") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(k)))
-        counts = sorted(tuple(r) for r in counted.collect())  # at most one row for each annotator and label
-        if settled := counts == before or not counts:
+        counted = items.mapInArrow(partial(_count, spark.sparkContext.broadcast(tables), base, k), "habit bigint, label int, n bigint").groupBy("habit", "label").agg(F.sum("n").alias("n"))
+        before, n, sizes = n, np.zeros_like(n), [0] * k
+        for r in counted.collect():  # at most one row for each annotator and two labels
+            if r["habit"] < 0:
+                sizes[r["label"]] = r["n"]
+            else:
+                n[r["habit"] // k, r["habit"] % k, r["label"]] = r["n"]
+        if settled := bool((n == before).all()):
             break
-        before = counts
-        base = commonness(list(counts[0][1:]))
-        table = spark.createDataFrame([(r[0] // k, r[0] % k, *r[1:]) for r in counts[1:]], "source int, said int, " + ", ".join(f"n{i} bigint" for i in range(k)))
-        rows = weigh(table.coalesce(1), k).collect()
-        tables = np.zeros((max(len(known), 2) * k, k))
-        for r in rows:
-            tables[r["source"] * k + r["said"]] = [r[f"d{i}"] for i in range(k)]
-    weights = np.zeros(len(tables))
-    for r in rows:
-        weights[r["source"] * k + r["said"]] = r["weight"]
+        base = commonness(sizes)
+        weight, distance = weigh_all(n)
+        tables = distance.reshape(-1, k)
+    weights = np.repeat(weight, k)
     truth = items.mapInArrow(partial(_label, spark.sparkContext.broadcast(tables), base, spark.sparkContext.broadcast(weights), k), f"item {claims.schema['item'].dataType.simpleString()}, label int, confidence double")
-    sources = spark.createDataFrame(sorted({(known[r["source"]], r["claims"], r["right"], r["weight"]) for r in rows}), f"source {claims.schema['source'].dataType.simpleString()}, claims bigint, right bigint, weight double")
+    rows = [(s, int(n[i].sum()), int(np.trace(n[i])), float(weight[i])) for i, s in enumerate(known)]
+    sources = spark.createDataFrame(rows, f"source {kind}, claims bigint, right bigint, weight double")
     return truth, sources, rounds, settled
 
 
@@ -139,7 +151,7 @@ def _discover_near(claims: DataFrame, known: list, k: int) -> tuple[DataFrame, D
 
 def _discover_far(claims: DataFrame, k: int, total: int) -> tuple[DataFrame, DataFrame, int, bool]:
     """The same by joins: claims meet their annotators' distances, and their items' labels, by shuffles that spare hot keys."""
-    claims = materialize(claims.withColumn("habit", F.xxhash64("source", "said")))
+    claims = store(claims.withColumn("habit", F.xxhash64("source", "said")))
     hot_item, hot_source = find_heavy(claims, "item", total), find_heavy(claims, "source", total)
     first = lambda i: F.when(F.col("said") == i, 0.0).otherwise(1.0)
     far = claims.select("item", *(first(i).alias(f"d{i}") for i in range(k)), F.lit(1.0).alias("weight"))
@@ -149,16 +161,16 @@ def _discover_far(claims: DataFrame, k: int, total: int) -> tuple[DataFrame, Dat
         least = F.least(*(F.col(f"s{i}") for i in range(k)))
         label = F.array_position(F.array(*(F.col(f"s{i}") for i in range(k))), least).cast("int") - 1
         near = [F.exp(-(F.col(f"s{i}") - least) / F.col("mean")) for i in range(k)]
-        truth = materialize(sums.select("item", label.alias("label"), (1 / reduce(lambda a, b: a + b, near)).alias("confidence")))
+        truth = store(sums.select("item", label.alias("label"), (1 / reduce(lambda a, b: a + b, near)).alias("confidence")))
         if settled or rounds == ROUNDS:
             return truth, table.select("source", "claims", "right", "weight").distinct(), rounds, settled
-        counts = materialize(lookup(claims, truth.select("item", "label"), "item", hot_item, "inner").groupBy("source", "said").agg(*(F.count_if(F.col("label") == i).alias(f"n{i}") for i in range(k))))
+        counts = store(lookup(claims, truth.select("item", "label"), "item", hot_item, "inner").groupBy("source", "said").agg(*(F.count_if(F.col("label") == i).alias(f"n{i}") for i in range(k))))
         rounds += 1
         mark = counts.agg(F.count("*"), F.sum(F.xxhash64(*counts.columns).cast("decimal(38,0)"))).first()
         settled, before = mark == before, mark
         n = {r["label"]: r["count"] for r in truth.groupBy("label").count().collect()}
         base = commonness([n.get(i, 0) for i in range(k)])
-        table = materialize(weigh(counts, k))
+        table = store(weigh(counts, k))
         by_source = table.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("said", F.struct("weight", *(f"d{i}" for i in range(k)))))).alias("own"))  # a label a row
         met = lookup(claims.select("item", "source", "said"), by_source, "source", hot_source, "inner").select("item", F.col("own")[F.col("said")].alias("o"))
         far = met.select("item", "o.*")
