@@ -5,13 +5,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from spanloom.runtime import materialize, store
 
 
+def spaced(c: Column) -> Column:
+    """Lower-case words of a text without tags, joined by blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "<[^>]+>", " ")), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
 def words(c: Column) -> Column:
     """Lower-case words of a text without tags."""
-    bare = F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "<[^>]+>", " ")), r"[^\p{L}\p{M}\p{N}]+", " "))
+    bare = spaced(c)
     return F.when(bare == "", F.expr("array()").cast("array<string>")).otherwise(F.split(bare, " "))
 
 
@@ -144,31 +150,163 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return w.join(first, "words")
 
 
-def locate_fuzzy(queries: DataFrame, corpus: DataFrame, n: int = 4, seeds: int = 12, back: int = 6, width: int = 14, enough: float = 0.97) -> DataFrame:
+def locate_fuzzy(queries: DataFrame, corpus: DataFrame, n: int = 4, seeds: int = 12, back: int = 6, width: int = 14, enough: float = 0.97, part: int = 1 << 20) -> DataFrame:
     """``(id, group, first_pos, last_pos, coverage)``: the stretch of a group's segments that holds most of a query's word runs.
 
     Each segment gets a vote for every run of ``n`` words it shares with the query; stretches start up to ``back`` segments before
     one of the ``seeds`` segments with most votes and are up to ``width`` long. The best coverage wins, of equal ones the
     shortest, then the earliest stretch; a stretch isn't widened past ``enough``. For every start the coverage of all lengths
     comes from one running count over where each run first occurs.
+
+    Queries and segments that share a run are far more than either, and grow with both: those pairs are never rows. A group's
+    segments are cut by ``pos`` into parts of ``part`` characters (up to 16 times that where there are many), its queries by id into
+    blocks, and each block meets each part as texts; what leaves is the ``seeds`` best segments of the part for each query, with the best
+    stretch from each, of which the best of all parts are then taken. Parts overlap by what stretches need; they are as even as positions are.
     """
-    spelt = corpus.where("pos is not null").select("group", "pos", words(F.col("text")).alias("w"))
-    where = spelt.select("group", "pos", F.explode(F.array_distinct(shingles(F.col("w"), n))).alias("s"))
-    asked = queries.select("id", "group", words(F.col("text")).alias("w")).select("id", "group", F.array_distinct(shingles(F.col("w"), n)).alias("g")).where("size(g) > 0")
-    size = asked.select("id", "group", F.size("g").alias("size")).distinct()
-    hits = materialize(asked.select("id", "group", F.explode("g").alias("s")).distinct().join(where.distinct(), ["group", "s"]))
-    votes = hits.groupBy("id", "group", "pos").agg(F.count("*").alias("k"))
-    best = votes.withColumn("r", F.row_number().over(Window.partitionBy("id", "group").orderBy(F.desc("k"), "pos"))).where(F.col("r") <= seeds)
-    starts = best.select("id", "group", F.explode(F.sequence(F.col("pos") - back, "pos")).alias("start")).distinct()
-    inside = starts.join(hits, ["id", "group"]).where(F.col("pos").between(F.col("start"), F.col("start") + width - 1))
-    first = inside.groupBy("id", "group", "start", "s").agg(F.min("pos").alias("pos"))
-    grown = first.groupBy("id", "group", "start", "pos").agg(F.count("*").alias("k")).join(size, ["id", "group"])
-    so_far = Window.partitionBy("id", "group", "start").orderBy("pos")
-    cover = grown.withColumn("coverage", F.round(F.sum("k").over(so_far) / F.col("size"), 6))
-    wide = cover.withColumn("_before", F.lag("coverage").over(so_far)).where(F.coalesce(F.col("_before") < enough, F.lit(True)))
-    begun = wide.groupBy("id", "group", "start").agg(F.max(F.struct("coverage", (-F.col("pos")).alias("o"))).alias("b"), F.min("pos").alias("first_pos"))
-    pick = F.max(F.struct(F.col("b.coverage"), (F.col("first_pos") + F.col("b.o")).alias("short"), (-F.col("first_pos")).alias("early")))
-    return begun.groupBy("id", "group").agg(pick.alias("p")).select("id", "group", (-F.col("p.early")).alias("first_pos"), (-F.col("p.early") - F.col("p.short")).alias("last_pos"), "p.coverage")
+    text = store(corpus.where("pos is not null and text is not null").select("group", "pos", spaced(F.col("text")).alias("text"))).where("text <> ''")
+    asked = store(queries.where("id is not null and text is not null").select("id", "group", spaced(F.col("text")).alias("text"))).where("text <> ''")
+    held = text.groupBy("group").agg(F.sum(F.length("text")).alias("_size"), F.min("pos").cast("bigint").alias("_lo"), F.max("pos").cast("bigint").alias("_hi"))
+    sought = asked.groupBy("group").agg(F.ceil(F.sum(F.length("text")) / (8 * part)).alias("_blocks"))
+    parts = F.ceil(F.col("_size") / F.least(F.greatest(F.col("_size") / 16, F.lit(part)), F.lit(16 * part)))
+    wide = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts), F.lit(back + width).cast("bigint"))
+    grid = store(held.join(sought, "group").select("group", "_lo", wide.alias("_wide"), "_blocks", F.expr("_hi - _lo").alias("_span")).withColumn("_last", F.expr("_span div _wide")).drop("_span"))
+    reach = F.sequence(F.expr(f"greatest((pos - _lo - {width - 1}) div _wide, 0L)"), F.expr(f"least((pos - _lo + {back}) div _wide, _last)"))
+    near = text.join(grid, "group").select("group", "pos", "text", "_blocks", F.expr("(pos - _lo) div _wide").alias("_own"), F.explode(reach).alias("_part"))
+    near = near.select("group", F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_block"), "_part", F.col("pos").cast("bigint").alias("pos"), (F.col("_own") == F.col("_part")).alias("own"), "text")
+    ask = asked.join(grid, "group").select("group", F.expr("pmod(xxhash64(id), _blocks)").alias("_block"), F.explode(F.expr("sequence(0L, _last)")).alias("_part"), "id", "text")
+    keys = ("group", "_block", "_part")
+    best = ArrayType(StructType.fromDDL("fewer bigint, pos bigint, coverage double, short bigint, early bigint"))
+    schema = StructType([StructField("id", queries.schema["id"].dataType), StructField("group", queries.schema["group"].dataType), StructField("best", best)])
+    met = ask.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(lambda a, b: _stretches(a, b, n, seeds, back, width, enough), schema)
+    top = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, seeds)
+    pick = met.groupBy("id", "group").agg(F.array_max(F.transform(top, lambda x: F.struct(x["coverage"].alias("coverage"), x["short"].alias("short"), x["early"].alias("early")))).alias("p"))
+    kind = corpus.schema["pos"].dataType
+    return pick.select("id", "group", (-F.col("p.early")).cast(kind).alias("first_pos"), (-F.col("p.early") - F.col("p.short")).cast(kind).alias("last_pos"), "p.coverage")
+
+
+def _numbered_runs(asked, held, n: int):
+    """``((row, number), (row, number))`` of all runs of ``n`` words of two columns of spaced texts; equal runs have equal numbers, and
+    those of the second column that the first lacks are left out. Numbers are exact: longer runs are pairs of a shorter one and a word."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = [pc.split_pattern(c, " ") for c in (asked, held)]
+    flat = pa.chunked_array([x.flatten() for c in lists for x in c.chunks]).dictionary_encode()
+    word = np.concatenate([x.indices.to_numpy() for x in flat.chunks]).astype(np.int64)
+    row = [np.repeat(np.arange(len(c)), pc.list_value_length(c).to_numpy()) for c in lists]
+    word = np.split(word, [len(row[0])])
+    many = int(word[0].max()) + 1  # the first column's words have the first numbers
+    at = [np.arange(len(word[0])), np.flatnonzero(word[1] < many)]
+    run = [word[0], word[1][at[1]]]
+    for k in range(1, n):
+        for i in (0, 1):
+            end = at[i] + k
+            inside = end < len(row[i])
+            inside[inside] = row[i][end[inside]] == row[i][at[i][inside]]
+            inside[inside] = word[i][end[inside]] < many
+            at[i] = at[i][inside]
+            run[i] = run[i][inside] * many + word[i][at[i] + k]
+        known, run[0] = np.unique(run[0], return_inverse=True)
+        found = np.searchsorted(known, run[1])
+        same = found < len(known)
+        same[same] = known[found[same]] == run[1][same]
+        at[1], run[1] = at[1][same], found[same]
+    return tuple((row[i][at[i]], run[i]) for i in (0, 1))
+
+
+def _stretches(asked, held, n: int, seeds: int, back: int, width: int, enough: float, batch: int = 1 << 18):
+    """For ``locate_fuzzy``: ``(id, group, best)`` for the queries of a block and the segments of a part, which are Arrow tables.
+
+    Work goes in batches of queries with ``batch`` hits, one hit for each run of a query and each place that has it. Of the possible starts
+    only those at hits count: from a place between two hits a stretch ends sooner and holds no more."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = pa.schema([("id", asked.schema.field("id").type), ("group", asked.schema.field("group").type), ("best", pa.list_(pa.struct([("fewer", pa.int64()), ("pos", pa.int64()), ("coverage", pa.float64()), ("short", pa.int64()), ("early", pa.int64())])))])
+    if not asked.num_rows or not held.num_rows:
+        return out.empty_table()
+
+    def starts_of(a):
+        return np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+
+    def spread(first, count):
+        """The places from each of ``first`` on, ``count`` of each."""
+        return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+    (a_row, a_run), (b_row, b_run) = _numbered_runs(asked["text"], held["text"], n)
+    names = asked["id"].combine_chunks().dictionary_encode()
+    place, at = np.unique(held["pos"].to_numpy(), return_inverse=True)
+    own = np.zeros(len(place), bool)
+    own[at] = held["own"].to_numpy()
+    places, runs = len(place), int(a_run.max(initial=-1)) + 1
+    posted = np.unique(b_run * places + at[b_row])
+    where, posted = posted % places, posted // places
+    begin = np.searchsorted(posted, np.arange(runs + 1))
+    query, run = np.divmod(np.unique(names.indices.to_numpy().astype(np.int64)[a_row] * max(runs, 1) + a_run), max(runs, 1))
+    size = np.bincount(query, minlength=len(names.dictionary))
+    bits = int(size.max(initial=1)).bit_length()
+    nth = np.arange(len(query)) - (np.cumsum(size) - size)[query]
+    count = np.diff(begin)[run]
+    hit_so_far = np.r_[0, np.cumsum(count)]
+    first_of = np.r_[0, np.cumsum(size)]
+    cuts = first_of[np.r_[starts_of(hit_so_far[first_of[:-1]] // batch), len(size)]]
+    done = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if not count[lo:hi].sum():
+            continue
+        c, q0 = count[lo:hi], query[lo]
+        hits = np.repeat((((query[lo:hi] - q0) * places) << bits) + nth[lo:hi], c) + (where[spread(begin[run[lo:hi]], c)] << bits)
+        hits.sort()
+        at_spot = hits >> bits
+        first = starts_of(at_spot)  # spots: places of a query with hits, in order
+        spot, first = at_spot[first], np.r_[first, len(hits)]
+        votes = np.diff(first)
+        q, p = np.divmod(spot, places)
+        # seeds
+        mine = own[p]
+        sated = np.bincount(q[mine & (votes > 1)], minlength=q[-1] + 1) >= seeds
+        mine &= (votes > 1) | ~sated[q]  # where enough places have more, those with one vote are no seeds
+        top = int(votes.max())
+        key = (q[mine] * (top + 1) + top - votes[mine]) * places + p[mine]
+        if not len(key):
+            continue
+        key.sort()
+        by = starts_of(key // ((top + 1) * places))
+        key = key[spread(by, np.minimum(np.diff(np.r_[by, len(key)]), seeds))]
+        seed = np.searchsorted(spot, key // ((top + 1) * places) * places + key % places)
+        # starts: spots up to ``back`` before a seed
+        pos = place[p]
+        before = np.maximum(seed[:, None] - np.arange(back + 1), 0)  # the first spot again does no harm
+        ok = (q[before] == q[seed][:, None]) & (pos[before] >= pos[seed][:, None] - back)
+        of, start = np.nonzero(ok)[0], before[ok]
+        start, e = np.unique(start, return_inverse=True)
+        after = np.minimum(start[:, None] + np.arange(width), len(spot) - 1)
+        spots = ((start[:, None] + np.arange(width) < len(spot)) & (q[after] == q[start][:, None]) & (pos[after] < pos[start][:, None] + width)).sum(1)
+        # where each run first occurs from there on
+        c = first[start + spots] - first[start]
+        i = spread(first[start], c)
+        stretch = np.repeat(np.arange(len(start)), c)
+        step = np.repeat(np.arange(len(spot)), votes)[i] - start[stretch]
+        key = ((stretch << bits) + (hits[i] & ((1 << bits) - 1))) * width + step
+        key.sort()
+        key = key[starts_of(key // width)]
+        new = np.bincount(((key // width) >> bits) * width + key % width, minlength=len(start) * width).reshape(-1, width)
+        total = size[q[start] + q0][:, None]
+        coverage = (2_000_000 * new.cumsum(1) + total) // (2 * total) / 1e6  # rounded half up, as Spark rounds
+        full = coverage >= enough
+        end = np.where(full.any(1), full.argmax(1), coverage.argmax(1))
+        got, begun, ended = coverage[np.arange(len(start)), end], pos[start], pos[start + end]
+        # of each seed the best start
+        order = np.lexsort((begun[e], (ended - begun)[e], -got[e], of))
+        x = e[order[starts_of(of[order])]]
+        done.append((q[seed] + q0, -votes[seed], pos[seed], got[x], begun[x] - ended[x], -begun[x]))
+    if not done:
+        return out.empty_table()
+    q, *fields = (np.concatenate(x) for x in zip(*done))
+    by = starts_of(q)
+    best = pa.ListArray.from_arrays(pa.array(np.r_[by, len(q)], pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in fields], [f.name for f in out.field("best").type.value_type]))
+    return pa.Table.from_arrays([names.dictionary.take(pa.array(q[by])), asked["group"].combine_chunks().take(pa.array(np.zeros(len(by), np.int64))), best], schema=out)
 
 
 def locate_any(queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -138,3 +138,44 @@ def test_planted_parallels_are_found(spark):
     docs = spark.createDataFrame([(i, g, " ".join(t) if t else None) for i, g, t in texts], "id bigint, group string, text string")
     got = {(r["a"], r["b"]): (r["shared"], r["overlap"]) for r in passages.shared_passages(docs).collect()}
     assert got == {(0, 1): (16, round(16 / 26, 6)), (1, 2): (11, round(11 / 17, 6))}  # 2 is of the same group as 0, and 4 is a copy of it
+
+
+def _stretch_of(want, seg, seeds=12, back=6, width=14, enough=0.97):
+    """The fuzzy locator for one query, stretch by stretch: what ``locate_fuzzy`` must equal. ``seg`` has the runs of each place."""
+    votes = {p: len(want & g) for p, g in seg.items() if want & g}
+    found = []
+    for s in sorted(votes, key=lambda p: (-votes[p], p))[:seeds]:
+        for start in range(s - back, s + 1):
+            held, first, last, cover = set(), None, None, 0.0
+            for p in (p for p in range(start, start + width) if p in votes):
+                held |= want & seg[p]
+                first = p if first is None else first
+                if round(len(held) / len(want), 6) > cover:
+                    cover, last = round(len(held) / len(want), 6), p
+                if cover >= enough:
+                    break
+            found.append((cover, first - last, -first))
+    return (lambda c, short, early: (-early, -early - short, c))(*max(found)) if found else None
+
+
+def test_fuzzy_location_stores_no_pairs_of_query_and_segment(spark):
+    import os
+
+    rng = random.Random(6)
+    formula = "and so it was told to them all at the gate".split()
+    corpus = {p: " ".join(formula + [f"w{rng.randrange(90)}" for _ in range(6)]) if p % 7 else " ".join(rng.choice(formula) for _ in range(9)) for p in range(-20, 1200)}
+    asked = {f"q{k}": " ".join([corpus[k], corpus[k + 1]]) + " w1 w2" * (k % 3) for k in range(0, 900, 9)} | {"far": f"{corpus[40]} {corpus[700]}", "no": "nothing of this is there"}
+    seg = {p: grams(t) for p, t in corpus.items()}
+    queries = spark.createDataFrame([(i, "g", t) for i, t in asked.items()] * 2 + [("lost", "h", corpus[3]), (None, "g", corpus[3]), ("null", "g", None)], "id string, `group` string, text string")
+    places = spark.createDataFrame([("g", p, t) for p, t in corpus.items()] + [("g", 5, corpus[5]), ("g", None, corpus[5]), ("g", 9, None)], "`group` string, pos int, text string")
+    folder = spark.sparkContext.getCheckpointDir() or ""
+    used = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder.removeprefix("file:")) for f in fs)
+    before = used()
+    found = passages.locate_fuzzy(queries, places)
+    folder = spark.sparkContext.getCheckpointDir()
+    stored = used() - before
+    wanted = {i: x for i, t in asked.items() if (x := _stretch_of(grams(t), seg))}
+    assert {r["id"]: (r["first_pos"], r["last_pos"], r["coverage"]) for r in found.collect()} == wanted and "no" not in wanted
+    assert 0 < stored < 500_000, stored  # the texts; every query shares a formula with every segment, which is 700,000 hits
+    cut = passages.locate_fuzzy(queries, places, part=4000)  # in many parts and blocks
+    assert {r["id"]: (r["first_pos"], r["last_pos"], r["coverage"]) for r in cut.collect()} == wanted
